@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import decontamination, sharding
 
-MODULES = [sharding]
+MODULES = [sharding, decontamination]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
