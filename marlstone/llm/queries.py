@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, media, packing, pii, sharding
+from . import decontamination, language, media, packing, pii, sharding, similarity
 
-MODULES = [sharding, media, language, decontamination, pii, packing]
+MODULES = [sharding, similarity, media, language, decontamination, pii, packing]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
