@@ -1,0 +1 @@
+"""No operator here reads an unbounded source; batch queries on a streaming DataFrame use Structured Streaming as it is."""
