@@ -76,14 +76,14 @@ class Runtime:
         """Rows; a query that runs longer is cancelled."""
         if seconds is None:
             return self.run("query", df.collect)
-        tag, expired = uuid.uuid4().hex, threading.Event()
+        tag, expired, context = uuid.uuid4().hex, threading.Event(), self.spark.sparkContext
 
         def stop():
             expired.set()
-            self.spark.interruptTag(tag)
+            context.cancelJobGroup(tag)
 
         def timed():
-            self.spark.addTag(tag)
+            context.setJobGroup(tag, "timed query", interruptOnCancel=True)
             timer = threading.Timer(seconds, stop)
             timer.start()
             try:
@@ -92,7 +92,7 @@ class Runtime:
                 raise TimedOut(f"more than {seconds} s") if expired.is_set() else e
             finally:
                 timer.cancel()
-                self.spark.removeTag(tag)
+                context.setLocalProperty("spark.jobGroup.id", None)
 
         return self.run("query", timed)
 

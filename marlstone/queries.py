@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import joins as N
@@ -35,8 +35,14 @@ def query(name: str, sql: str | None, *tables: str):
     return register
 
 
-def plain(name: str, sql: str, q: Query, *tables: str) -> None:
-    query(name, sql, *(tables or (q.model,)))(lambda c, s: q.to_df(c))
+def plain(name: str, sql: str, q: Callable[[], Query], *tables: str) -> None:
+    """A query that is one builder expression; built when it runs, for columns need a session. The tables default to its model."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        built = q()
+        return built.to_df(sf_catalog(spark, sf_dir, *(tables or (built.model,))))
+
+    QUERIES[name], ORACLES[name] = run, sql
 
 
 def decimal_sum(x: str) -> str:
@@ -62,21 +68,21 @@ query(
 # filters
 
 plain("filter_compare", "SELECT * FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_returnflag = 'R' AND l_discount > 0.03 AND l_tax <= 0.06 AND l_linestatus <> 'X'",
-      Query("lineitem").where(field("l_quantity").gte(10.0), field("l_quantity").lt(20.0), field("l_returnflag").equals("R"), field("l_discount").gt(0.03), field("l_tax").lte(0.06), field("l_linestatus").not_equals("X")))
-plain("filter_equals_null", "SELECT * FROM orders WHERE o_orderstatus = NULL", Query("orders").where(field("o_orderstatus").equals(None)))
-plain("filter_in", "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'P')", Query("orders").where(field("o_orderstatus").is_in(["F", "P"])))
-plain("filter_in_empty", "SELECT * FROM orders WHERE FALSE", Query("orders").where(field("o_orderstatus").is_in([])))
-plain("filter_not_in", "SELECT * FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')", Query("orders").where(field("o_orderpriority").not_in(["1-URGENT", "5-LOW"])))
-plain("filter_not_in_empty", "SELECT * FROM nation", Query("nation").where(field("n_name").not_in([])))
-plain("filter_like_wildcard", "SELECT * FROM part WHERE p_name LIKE '%a_e%'", Query("part").where(field("p_name").contains("a_e")))
-plain("filter_like", "SELECT * FROM part WHERE p_type LIKE '%A%E%'", Query("part").where(field("p_type").like("%A%E%")))
-plain("filter_starts_ends", "SELECT * FROM part WHERE p_name LIKE 'b%' OR p_name LIKE '%n'", Query("part").where(field("p_name").starts_with("b") | field("p_name").ends_with("n")))
-plain("filter_insensitive", "SELECT * FROM part WHERE lower(p_name) LIKE lower('%BLUE%')", Query("part").where(field("p_name").contains("BLUE", insensitive=True)))
+      lambda: Query("lineitem").where(field("l_quantity").gte(10.0), field("l_quantity").lt(20.0), field("l_returnflag").equals("R"), field("l_discount").gt(0.03), field("l_tax").lte(0.06), field("l_linestatus").not_equals("X")))
+plain("filter_equals_null", "SELECT * FROM orders WHERE o_orderstatus = NULL", lambda: Query("orders").where(field("o_orderstatus").equals(None)))
+plain("filter_in", "SELECT * FROM orders WHERE o_orderstatus IN ('F', 'P')", lambda: Query("orders").where(field("o_orderstatus").is_in(["F", "P"])))
+plain("filter_in_empty", "SELECT * FROM orders WHERE FALSE", lambda: Query("orders").where(field("o_orderstatus").is_in([])))
+plain("filter_not_in", "SELECT * FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')", lambda: Query("orders").where(field("o_orderpriority").not_in(["1-URGENT", "5-LOW"])))
+plain("filter_not_in_empty", "SELECT * FROM nation", lambda: Query("nation").where(field("n_name").not_in([])))
+plain("filter_like_wildcard", "SELECT * FROM part WHERE p_name LIKE '%a_e%'", lambda: Query("part").where(field("p_name").contains("a_e")))
+plain("filter_like", "SELECT * FROM part WHERE p_type LIKE '%A%E%'", lambda: Query("part").where(field("p_type").like("%A%E%")))
+plain("filter_starts_ends", "SELECT * FROM part WHERE p_name LIKE 'b%' OR p_name LIKE '%n'", lambda: Query("part").where(field("p_name").starts_with("b") | field("p_name").ends_with("n")))
+plain("filter_insensitive", "SELECT * FROM part WHERE lower(p_name) LIKE lower('%BLUE%')", lambda: Query("part").where(field("p_name").contains("BLUE", insensitive=True)))
 plain("filter_and_or_nested", "SELECT * FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 300000) OR (o_orderstatus = 'O' AND o_totalprice < 20000)",
-      Query("orders").where(any_of(all_of(field("o_orderstatus").equals("F"), field("o_totalprice").gt(300000.0)), all_of(field("o_orderstatus").equals("O"), field("o_totalprice").lt(20000.0)))))
-plain("filter_nor", "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F') AND NOT (o_totalprice > 200000)", Query("orders").where(not_(field("o_orderstatus").equals("F"), field("o_totalprice").gt(200000.0))))
-plain("filter_not_all", "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 200000)", Query("orders").where(not_all(field("o_orderstatus").equals("F"), field("o_totalprice").gt(200000.0))))
-plain("filter_between_columns", "SELECT * FROM lineitem WHERE l_discount > l_tax", Query("lineitem").where(Raw(F.col("l_discount") > F.col("l_tax"))))
+      lambda: Query("orders").where(any_of(all_of(field("o_orderstatus").equals("F"), field("o_totalprice").gt(300000.0)), all_of(field("o_orderstatus").equals("O"), field("o_totalprice").lt(20000.0)))))
+plain("filter_nor", "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F') AND NOT (o_totalprice > 200000)", lambda: Query("orders").where(not_(field("o_orderstatus").equals("F"), field("o_totalprice").gt(200000.0))))
+plain("filter_not_all", "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 200000)", lambda: Query("orders").where(not_all(field("o_orderstatus").equals("F"), field("o_totalprice").gt(200000.0))))
+plain("filter_between_columns", "SELECT * FROM lineitem WHERE l_discount > l_tax", lambda: Query("lineitem").where(Raw(F.col("l_discount") > F.col("l_tax"))))
 
 
 @query("filter_null", "SELECT o.o_orderkey, o.o_orderstatus FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL", "orders", "lineitem")
@@ -85,14 +91,14 @@ def _(c, s):
 
 
 plain("filter_not_null", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL",
-      Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").where(field("l.quality").is_not_null()).select("d.doc_id", "l.quality"), "documents", "labels")
+      lambda: Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").where(field("l.quality").is_not_null()).select("d.doc_id", "l.quality"), "documents", "labels")
 
 # JSON, arrays, text
 
-plain("json_path", "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '69'", Query("events").where(field("props").json_path("$.k", 69)).select("event_id", "props"))
-plain("json_has_key", "SELECT event_id, props FROM events WHERE list_contains(json_keys(props), 'k')", Query("events").where(field("props").json_has_key("k")).select("event_id", "props"))
-plain("json_has_no_key", "SELECT event_id, props FROM events WHERE NOT list_contains(json_keys(props), 'z') AND event_id % 7 = 0", Query("events").where(not_(field("props").json_has_key("z")), Raw(F.col("event_id") % 7 == 0)).select("event_id", "props"))
-plain("json_contains", "SELECT event_id, props FROM events WHERE json_contains(props, '{\"k\": 42}')", Query("events").where(field("props").json_contains({"k": 42})).select("event_id", "props"))
+plain("json_path", "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '69'", lambda: Query("events").where(field("props").json_path("$.k", 69)).select("event_id", "props"))
+plain("json_has_key", "SELECT event_id, props FROM events WHERE list_contains(json_keys(props), 'k')", lambda: Query("events").where(field("props").json_has_key("k")).select("event_id", "props"))
+plain("json_has_no_key", "SELECT event_id, props FROM events WHERE NOT list_contains(json_keys(props), 'z') AND event_id % 7 = 0", lambda: Query("events").where(not_(field("props").json_has_key("z")), Raw(F.col("event_id") % 7 == 0)).select("event_id", "props"))
+plain("json_contains", "SELECT event_id, props FROM events WHERE json_contains(props, '{\"k\": 42}')", lambda: Query("events").where(field("props").json_contains({"k": 42})).select("event_id", "props"))
 
 
 @query("json_array_contains", "SELECT event_id FROM events WHERE list_contains([CAST(json_extract_string(props, '$.k') AS INT), event_id % 10], 5)", "events")
@@ -120,18 +126,18 @@ for _name, _pred, _sql in (
         lambda c, s, p=_pred: _arrays(c).where(keeps(p)).select("c_custkey", F.size("tags").cast("bigint").alias("n"))
     )
 
-plain("fulltext_search", r"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'was'])", Query("documents").where(field("text").search("The was")).select("doc_id"))
+plain("fulltext_search", r"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'was'])", lambda: Query("documents").where(field("text").search("The was")).select("doc_id"))
 
 # projection and distinct
 
-plain("select_columns", "SELECT c_name, c_acctbal, c_custkey FROM customer", Query("customer").select("c_name", "c_acctbal", "c_custkey"))
-plain("select_computed", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS net FROM lineitem", Query("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("net")))
-plain("distinct_values", "SELECT DISTINCT c_mktsegment FROM customer", Query("customer").select("c_mktsegment").distinct())
+plain("select_columns", "SELECT c_name, c_acctbal, c_custkey FROM customer", lambda: Query("customer").select("c_name", "c_acctbal", "c_custkey"))
+plain("select_computed", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS net FROM lineitem", lambda: Query("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("net")))
+plain("distinct_values", "SELECT DISTINCT c_mktsegment FROM customer", lambda: Query("customer").select("c_mktsegment").distinct())
 plain("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
-      Query("orders").distinct_on("o_custkey").order_by("o_custkey", ("o_totalprice", "desc"), "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice"))
-plain("count_distinct", "SELECT count(DISTINCT o_custkey) AS customers FROM orders", Query("orders").aggregate(count("o_custkey", "customers", distinct=True)))
+      lambda: Query("orders").distinct_on("o_custkey").order_by("o_custkey", ("o_totalprice", "desc"), "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice"))
+plain("count_distinct", "SELECT count(DISTINCT o_custkey) AS customers FROM orders", lambda: Query("orders").aggregate(count("o_custkey", "customers", distinct=True)))
 plain("case_count", "SELECT o_orderpriority, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS done, count(*) AS n FROM orders GROUP BY o_orderpriority",
-      Query("orders").group_by("o_orderpriority").aggregate(count(alias="done", only=field("o_orderstatus").equals("F")), count(alias="n")))
+      lambda: Query("orders").group_by("o_orderpriority").aggregate(count(alias="done", only=field("o_orderstatus").equals("F")), count(alias="n")))
 
 
 @query("scalar_subquery", "SELECT r_name, (SELECT count(*) FROM nation) AS nations FROM region", "region", "nation")
@@ -181,9 +187,12 @@ def _(c, s):
     return N.where_not_in(c.table("customer"), "c_custkey", sub, "k").select("c_custkey")
 
 
-_CORR = F.col("c_custkey") == F.col("o_custkey")
-query("exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", "customer", "orders")(lambda c, s: Query("customer").where_exists(_BIG, _CORR).select("c_custkey").to_df(c))
-query("not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", "customer", "orders")(lambda c, s: Query("customer").where_not_exists(_BIG, _CORR).select("c_custkey").to_df(c))
+def _own() -> Column:
+    return F.col("c_custkey") == F.col("o_custkey")
+
+
+query("exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", "customer", "orders")(lambda c, s: Query("customer").where_exists(_BIG, _own()).select("c_custkey").to_df(c))
+query("not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)", "customer", "orders")(lambda c, s: Query("customer").where_not_exists(_BIG, _own()).select("c_custkey").to_df(c))
 query("exists_uncorrelated", "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 0)", "region", "nation")(lambda c, s: Query("region").where_exists(Query("nation").where(n_regionkey=0)).select("r_name").to_df(c))
 
 # relations
@@ -218,28 +227,32 @@ query("include_flat", "SELECT n_name, s_suppkey AS supplier_s_suppkey FROM natio
 
 # aggregates
 
-plain("agg_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'", Query("orders").where(o_orderstatus="O").aggregate(count(alias="n")))
-plain("agg_count_column", "SELECT count(l.quality) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").aggregate(count("l.quality", "n")), "documents", "labels")
-plain("agg_sum", f"SELECT {decimal_sum('o_totalprice')} AS revenue, CAST(sum(p) AS BIGINT) AS keys FROM (SELECT *, o_orderkey AS p FROM orders)", Query("orders").aggregate(total("o_totalprice", "revenue", exact=2), total("o_orderkey", "keys")))
-plain("agg_avg", "SELECT avg(p_size) AS mean FROM part", Query("part").aggregate(avg("p_size", "mean")))
-plain("agg_min_max", "SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, min(p_name) AS first_name FROM part", Query("part").aggregate(least("p_retailprice", "lo"), largest("p_retailprice", "hi"), least("p_name", "first_name")))
+plain("agg_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'", lambda: Query("orders").where(o_orderstatus="O").aggregate(count(alias="n")))
+plain("agg_count_column", "SELECT count(l.quality) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", lambda: Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").aggregate(count("l.quality", "n")), "documents", "labels")
+plain("agg_sum", f"SELECT {decimal_sum('o_totalprice')} AS revenue, CAST(sum(p) AS BIGINT) AS keys FROM (SELECT *, o_orderkey AS p FROM orders)", lambda: Query("orders").aggregate(total("o_totalprice", "revenue", exact=2), total("o_orderkey", "keys")))
+plain("agg_avg", "SELECT avg(p_size) AS mean FROM part", lambda: Query("part").aggregate(avg("p_size", "mean")))
+plain("agg_min_max", "SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi, min(p_name) AS first_name FROM part", lambda: Query("part").aggregate(least("p_retailprice", "lo"), largest("p_retailprice", "hi"), least("p_name", "first_name")))
 query("agg_empty_zero", "SELECT coalesce(CAST(sum(o_totalprice) AS DOUBLE), 0) AS total FROM orders WHERE o_orderstatus = 'none'", "orders")(lambda c, s: scalar_or_zero(c.table("orders"), total("o_totalprice", "total"), field("o_orderstatus").equals("none")))
-plain("agg_empty_null", "SELECT sum(o_totalprice) AS total, count(*) AS n FROM orders WHERE o_orderstatus = 'none'", Query("orders").where(o_orderstatus="none").aggregate(total("o_totalprice", "total"), count(alias="n")))
+plain("agg_empty_null", "SELECT sum(o_totalprice) AS total, count(*) AS n FROM orders WHERE o_orderstatus = 'none'", lambda: Query("orders").where(o_orderstatus="none").aggregate(total("o_totalprice", "total"), count(alias="n")))
 query("agg_keys_last", "SELECT count(*) AS n, max(o_totalprice) AS hi, o_orderstatus FROM orders GROUP BY o_orderstatus", "orders")(lambda c, s: group_by(c.table("orders"), ["o_orderstatus"], [count(alias="n"), largest("o_totalprice", "hi")], keys_last=True))
-plain("group_by", f"SELECT c_mktsegment, count(*) AS count, {decimal_sum('c_acctbal')} AS sum_c_acctbal FROM customer GROUP BY c_mktsegment", Query("customer").group_by("c_mktsegment").aggregate(count(), total("c_acctbal", exact=2)))
+plain("group_by", f"SELECT c_mktsegment, count(*) AS count, {decimal_sum('c_acctbal')} AS sum_c_acctbal FROM customer GROUP BY c_mktsegment", lambda: Query("customer").group_by("c_mktsegment").aggregate(count(), total("c_acctbal", exact=2)))
 plain("group_by_multi", "SELECT n_name, o_orderpriority, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY n_name, o_orderpriority",
-      Query("customer").join("nation", N.on("c_nationkey", "=", "n_nationkey"), "inner").join("orders", N.on("c_custkey", "=", "o_custkey"), "inner").group_by("n_name", "o_orderpriority").aggregate(count(alias="n")), "customer", "nation", "orders")
-plain("group_by_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15", Query("orders").group_by("o_custkey").aggregate(count(alias="n")).having(field("n").gt(15)))
+      lambda: Query("customer").join("nation", N.on("c_nationkey", "=", "n_nationkey"), "inner").join("orders", N.on("c_custkey", "=", "o_custkey"), "inner").group_by("n_name", "o_orderpriority").aggregate(count(alias="n")), "customer", "nation", "orders")
+plain("group_by_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15", lambda: Query("orders").group_by("o_custkey").aggregate(count(alias="n")).having(field("n").gt(15)))
 plain("group_by_having_avg", f"SELECT c_nationkey, round({decimal_sum('c_acctbal')} / count(c_acctbal), 6) AS mean FROM customer GROUP BY c_nationkey HAVING {decimal_sum('c_acctbal')} / count(c_acctbal) > 4600",
-      Query("customer").group_by("c_nationkey").aggregate(avg("c_acctbal", "m", exact=2)).having(field("m").gt(4600.0)).select("c_nationkey", F.round("m", 6).alias("mean")))
-_FLAGSHIP = (
-    Query("orders").join("customer", N.on("o_custkey", "=", "c_custkey"), "inner")
-    .where(field("o_orderstatus").is_in(["F", "O"]), Raw(F.col("o_orderdate") >= F.lit("1993-01-01").cast("timestamp_ntz")))
-    .group_by("c_mktsegment").aggregate(count(alias="n"), total("o_totalprice", "revenue", exact=2)).having(field("n").gt(10)).order_by(("revenue", "desc"), "c_mktsegment")
-)
-plain("group_by_join", f"SELECT c_mktsegment, count(*) AS n, {decimal_sum('o_totalprice')} AS revenue FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND o_orderdate >= TIMESTAMP '1993-01-01' GROUP BY c_mktsegment HAVING count(*) > 10 ORDER BY revenue DESC", _FLAGSHIP, "orders", "customer")
+      lambda: Query("customer").group_by("c_nationkey").aggregate(avg("c_acctbal", "m", exact=2)).having(field("m").gt(4600.0)).select("c_nationkey", F.round("m", 6).alias("mean")))
+
+def _flagship() -> Query:
+    return (
+        Query("orders").join("customer", N.on("o_custkey", "=", "c_custkey"), "inner")
+        .where(field("o_orderstatus").is_in(["F", "O"]), Raw(F.col("o_orderdate") >= F.lit("1993-01-01").cast("timestamp_ntz")))
+        .group_by("c_mktsegment").aggregate(count(alias="n"), total("o_totalprice", "revenue", exact=2)).having(field("n").gt(10)).order_by(("revenue", "desc"), "c_mktsegment")
+    )
+
+
+plain("group_by_join", f"SELECT c_mktsegment, count(*) AS n, {decimal_sum('o_totalprice')} AS revenue FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND o_orderdate >= TIMESTAMP '1993-01-01' GROUP BY c_mktsegment HAVING count(*) > 10 ORDER BY revenue DESC", _flagship, "orders", "customer")
 plain("group_by_seven", f"SELECT l_returnflag, l_linestatus, {decimal_sum('l_quantity')} AS qty, {decimal_sum('l_extendedprice')} AS price, min(l_discount) AS lo, max(l_discount) AS hi, count(*) AS n, count(CASE WHEN l_tax > 0.04 THEN 1 END) AS taxed FROM lineitem GROUP BY ALL",
-      Query("lineitem").group_by("l_returnflag", "l_linestatus").aggregate(total("l_quantity", "qty", 2), total("l_extendedprice", "price", 2), least("l_discount", "lo"), largest("l_discount", "hi"), count(alias="n"), count(alias="taxed", only=field("l_tax").gt(0.04))))
+      lambda: Query("lineitem").group_by("l_returnflag", "l_linestatus").aggregate(total("l_quantity", "qty", 2), total("l_extendedprice", "price", 2), least("l_discount", "lo"), largest("l_discount", "hi"), count(alias="n"), count(alias="taxed", only=field("l_tax").gt(0.04))))
 
 # windows
 
@@ -248,7 +261,7 @@ _OV = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey {})"
 
 
 def windowed(name: str, sql: str, *fns: W.WindowFn) -> None:
-    plain(name, f"SELECT o_orderkey, {sql} FROM orders", Query("orders").window(*fns).select("o_orderkey", *[f.alias for f in fns]))
+    plain(name, f"SELECT o_orderkey, {sql} FROM orders", lambda: Query("orders").window(*fns).select("o_orderkey", *[f.alias for f in fns]))
 
 
 windowed("win_row_number", f"row_number() {_OV.format('')} AS n", W.window_fn("row_number", "n", _BY))
@@ -263,7 +276,7 @@ windowed("win_lag_lead", f"lag(o_orderkey, 2, 0) {_OV.format('')} AS before, lea
 _FULL = _BY.rows(W.UNBOUNDED_PRECEDING, W.UNBOUNDED_FOLLOWING)
 windowed("win_first_last", f"first_value(o_orderkey) {_OV.format('')} AS a, last_value(o_orderkey) {_OV.format('ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING')} AS z", W.window_fn("first_value", "a", _BY, "o_orderkey"), W.window_fn("last_value", "z", _FULL, "o_orderkey"))
 _RANGE = W.over("c_nationkey").order_by("c_custkey").range(W.preceding(100), W.following(50))
-plain("win_range_frame", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey RANGE BETWEEN 100 PRECEDING AND 50 FOLLOWING) AS n FROM customer", Query("customer").window(W.window_fn("count", "n", _RANGE)).select("c_custkey", "n"))
+plain("win_range_frame", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey RANGE BETWEEN 100 PRECEDING AND 50 FOLLOWING) AS n FROM customer", lambda: Query("customer").window(W.window_fn("count", "n", _RANGE)).select("c_custkey", "n"))
 _AROUND = _BY.rows(W.preceding(1), W.following(1)).excluding("current row")
 _EX = _OV.format("ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW")
 windowed("win_exclude_current", f"CAST(sum(o_orderkey) {_EX} AS BIGINT) AS s, count(o_orderkey) {_EX} AS n, max(o_totalprice) {_EX} AS hi", W.window_fn("sum", "s", _AROUND, "o_orderkey"), W.window_fn("count", "n", _AROUND, "o_orderkey"), W.window_fn("max", "hi", _AROUND, "o_totalprice"))
@@ -273,18 +286,18 @@ for _what in ("group", "ties"):
         lambda c, s, w=_ord: W.with_windows(c.table("nation").withColumn("first", F.col("n_nationkey") % 2), W.window_fn("count", "n", w, "n_nationkey"), W.window_fn("max", "hi", w, "n_nationkey")).select("n_nationkey", "n", "hi")
     )
 plain("win_join_where_top", "SELECT c_name, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
-      Query("customer").join("orders", N.on("c_custkey", "=", "o_custkey"), "inner").where(o_orderstatus="F").window(W.window_fn("row_number", "n", W.over("c_custkey").order_by(("o_totalprice", "desc"), "o_orderkey"))).order_by(("o_totalprice", "desc"), "o_orderkey").take(50).select("c_name", "o_orderkey", "n"), "customer", "orders")
+      lambda: Query("customer").join("orders", N.on("c_custkey", "=", "o_custkey"), "inner").where(o_orderstatus="F").window(W.window_fn("row_number", "n", W.over("c_custkey").order_by(("o_totalprice", "desc"), "o_orderkey"))).order_by(("o_totalprice", "desc"), "o_orderkey").take(50).select("c_name", "o_orderkey", "n"), "customer", "orders")
 
 # order and paging
 
-plain("order_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 40", Query("orders").order_by("o_totalprice", "o_orderkey").skip(40).take(20).select("o_orderkey", "o_totalprice"))
-plain("order_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id LIMIT 700", Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").order_by(("l.quality", "desc"), "d.doc_id").take(700).select("d.doc_id", "l.quality"), "documents", "labels")
-plain("top_k", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10", Query("customer").order_by(("c_acctbal", "desc"), "c_custkey").take(10).select("c_custkey", "c_acctbal"))
-plain("limit_zero", "SELECT * FROM nation LIMIT 0", Query("nation").take(0))
-plain("cursor_page_asc", "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25", Query("orders").order_by(("o_orderkey", "asc")).cursor("o_orderkey", 500).take(25).select("o_orderkey"))
-plain("cursor_page_desc", "SELECT o_orderkey FROM orders WHERE o_orderkey < 500 ORDER BY o_orderkey DESC LIMIT 25", Query("orders").order_by(("o_orderkey", "desc")).cursor("o_orderkey", 500).take(25).select("o_orderkey"))
-plain("find_first", "SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 1", Query("orders").where(o_orderstatus="P").order_by("o_orderkey").take(1))
-plain("find_unique", "SELECT * FROM customer WHERE c_custkey = 77", Query("customer").where(c_custkey=77).take(1))
+plain("order_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 40", lambda: Query("orders").order_by("o_totalprice", "o_orderkey").skip(40).take(20).select("o_orderkey", "o_totalprice"))
+plain("order_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id LIMIT 700", lambda: Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").order_by(("l.quality", "desc"), "d.doc_id").take(700).select("d.doc_id", "l.quality"), "documents", "labels")
+plain("top_k", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10", lambda: Query("customer").order_by(("c_acctbal", "desc"), "c_custkey").take(10).select("c_custkey", "c_acctbal"))
+plain("limit_zero", "SELECT * FROM nation LIMIT 0", lambda: Query("nation").take(0))
+plain("cursor_page_asc", "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25", lambda: Query("orders").order_by(("o_orderkey", "asc")).cursor("o_orderkey", 500).take(25).select("o_orderkey"))
+plain("cursor_page_desc", "SELECT o_orderkey FROM orders WHERE o_orderkey < 500 ORDER BY o_orderkey DESC LIMIT 25", lambda: Query("orders").order_by(("o_orderkey", "desc")).cursor("o_orderkey", 500).take(25).select("o_orderkey"))
+plain("find_first", "SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 1", lambda: Query("orders").where(o_orderstatus="P").order_by("o_orderkey").take(1))
+plain("find_unique", "SELECT * FROM customer WHERE c_custkey = 77", lambda: Query("customer").where(c_custkey=77).take(1))
 
 # common table expressions and raw SQL
 
