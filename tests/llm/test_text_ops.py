@@ -1,0 +1,250 @@
+"""Brute-force comparisons and edge cases of the operators that look at one text at a time."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.llm import decontamination, language, media, packing, pii, sharding
+from marlstone.llm.common import BLANKS, NOT_ALNUM, hash_words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word " * 60_000
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank and very long texts, ties and repeated rows."""
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, "Same text here", "en", "a", 14), (5, "Same text here", None, "b", 14), (5, "Same text here", None, "b", 14),
+            (None, "no id at all", "fr", "a", 12), (6, LONG, "en", "a", len(LONG)), (7, "12345 !!! ***", "de", None, 13)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_word_hashes_tell_words_apart_and_ignore_case():
+    words = next(iter(hash_words(["The cat the CAT", None, "é É"], BLANKS)))
+    assert words.bounds.tolist() == [0, 4, 4, 6]
+    h = words.hashes
+    assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1] and h[4] != h[5]
+    many = list(hash_words(["ab1-cd é_x"] * 3, NOT_ALNUM, chunk=4))
+    assert sum(len(w) for w in many) == 3 and all(w.bounds[-1] == 4 * len(w) for w in many)
+
+
+# sharding
+
+
+def test_shards_are_even_and_slots_gapless(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(0, 300) if i % 3 else "hot copy of a text") for i in range(6000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=7, fan=8).select("doc_id", "size", "shard", "slot").toPandas()
+    assert sorted(got.doc_id) == list(range(6000))
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 7 and size.max() - size.min() <= 2 * 310
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_sharding_edges(spark, odd):
+    got = sharding.shard_by_bytes(odd.withColumn("shard", F.lit("clash")), n_shards=3).toPandas()
+    assert len(got) == 9 and set(got["shard"]) <= {0, 1, 2}
+    assert got[got.doc_id == 1]["size"].tolist() == [8]
+    assert sharding.shard_by_bytes(odd.limit(0)).count() == 0
+    assert sharding.shard_by_bytes(odd.limit(1)).select("slot").first().slot == 0
+
+
+def test_cells_handles_tied_probes():
+    hi, lo = np.array([1, 5, 5, 5, 9]), np.array([0, 1, 4, 9, 0])
+    assert sharding.cells(hi, lo, np.array([5, 5, 7]), np.array([2, 8, 0])).tolist() == [0, 0, 1, 2, 3]
+
+
+# language
+
+
+def test_language(spark, odd):
+    train = spark.createDataFrame([(i, t, l) for i in range(30) for t, l in (("the house and the garden of the king", "en"), ("das Haus und der Garten von dem König", "de"))], "doc_id long, text string, lang string")
+    model = language.learn_profiles(train, size=100)
+    got = language.identify(odd.withColumn("score", F.lit(1)), model).select("doc_id", "lang_pred", "score").collect()
+    by = {r.doc_id: r for r in got}
+    assert by[1].lang_pred == by[2].lang_pred == by[3].lang_pred == by[7].lang_pred == "und" and by[7].score == 0
+    assert by[4].lang_pred == "en" and 0 <= by[4].score <= 1
+    assert model.nearest("der König und das Haus")[0] == "de"
+    assert language.identify(odd, language.learn_profiles(train.limit(0))).where("lang_pred <> 'und'").count() == 0
+    assert language.identify(odd.limit(0), model).count() == 0
+
+
+def test_language_counts_match_brute_force(spark):
+    texts = ["Ab a", "b-B é", ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    n = {}
+    for t in texts:
+        w = re.sub(r"[\W\d_]+", " ", t.lower()).strip()
+        w = f" {w} " if w else ""
+        for k in (1, 2, 3):
+            for i in range(len(w) - k + 1):
+                g = w[i : i + k]
+                if not (k == 1 and g == " ") and not (k == 3 and g[1] == " "):
+                    code = sum(ord(c) << 21 * j for j, c in enumerate(g))
+                    n[code] = n.get(code, 0) + 1
+    want = sorted(n, key=lambda c: (-n[c], c))[:5]
+    model = language.learn_profiles(df, size=5)
+    codes, ranks = model.tables[0]
+    assert [int(codes[list(ranks).index(r)]) for r in range(len(codes))] == want
+
+
+# decontamination
+
+
+def brute_windows(docs, items, length=13):
+    low = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i, t in items:
+        w = low(t)
+        for k in range(max(1, len(w) - length + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + length]), set()).add(i)
+    out = {}
+    for d, t in docs:
+        w, hit, found = low(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k : k + n])) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[x]
+        out[d] = (len(w), len(hit), sorted(str(x) for x in found if x is not None))
+    return out
+
+
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_decontamination_against_brute_force(spark, block):
+    rng = random.Random(5)
+    word = lambda: rng.choice("alpha beta Gamma delta éta x1 zz".split())
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 5, 13, 20])))) for i in range(12)] + [(90, ""), (91, None), (None, "only nameless words")]
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 40))) + (" " + rng.choice(items[:12])[1] if i % 2 else "")) for i in range(60)] + [(100, None), (101, "Only NAMELESS-words.")]
+    got = decontamination.find_benchmark(spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(0)), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == brute_windows(docs, items)
+
+
+def test_decontamination_empty_tables(spark, odd):
+    none = spark.createDataFrame([], "item_id long, text string")
+    got = decontamination.find_benchmark(odd, none)
+    assert got.count() == 9 and got.where("n_hit > 0").count() == 0
+    assert decontamination.find_benchmark(odd.limit(0), none).count() == 0
+
+
+# personal data
+
+
+def brute_spans(t):
+    pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, p in pats.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m.group())
+            odd_sum = sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d)))
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")) or kind == "card" and 16 <= len(d) <= 19 and odd_sum % 10 == 0 or kind == "phone" and 8 <= len(d) <= 15:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(5)
+    bits = ["a", "b.c", "@", "@", "x@y.z", ".", "4", "4111111111111111", "1", "255", "+", "-", " ", "(", ")", "é", "1.2.3.4", "_", "%", "\n"]
+    for _ in range(5000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert pii.base_spans(t) == brute_spans(t), t
+
+
+def test_long_runs_are_linear():
+    for t in ("1" * 200_000, "a" * 200_000, "a@" * 50_000, "1." * 50_000, "+" * 50_000):
+        pii.candidates(t)
+
+
+def test_pii_learns_and_redacts(spark, odd):
+    rows = [(i, f"write to user{i}@mail.example.com or call +1 (555) 555-{1000 + i} now") for i in range(40)] + [(100, "call 555-867-5309 please, phone"), (101, "version 1.2.3.4.5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.learn_spans(df)
+    got = {r.doc_id: r for r in pii.find_pii(df, model).collect()}
+    assert got[3].redacted == "write to <EMAIL> or call <PHONE> now"
+    assert all([tuple(s) for s in got[i].base_spans] == brute_spans(t) for i, t in rows)
+    assert all(set(map(tuple, got[i].base_spans)) <= set(map(tuple, got[i].pii_spans)) for i, _ in rows)
+    edges = pii.find_pii(odd, pii.learn_spans(odd.limit(0)))
+    assert edges.count() == 9 and edges.where("redacted is null").count() == 1
+
+
+# packing
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(2)
+    for _ in range(30):
+        lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 200))]
+        counts = {x: lengths.count(x) for x in lengths}
+        windows = {}
+        for length, rank, n, first, offset in packing.plan(counts, 64):
+            for i in range(n):
+                windows.setdefault(first + i, []).append((offset, length))
+        assert sorted(x for w in windows.values() for _, x in w) == sorted(lengths)
+        for w in windows.values():
+            at = 0
+            for offset, length in sorted(w):
+                assert offset == at
+                at += length
+            assert at <= 64
+        rooms = []  # the plain form: the tightest open window, item by item
+        for x in sorted(lengths, reverse=True):
+            fit = min((r for r in rooms if r >= x), default=None)
+            rooms.append(64 - x if fit is None else fit - x)
+            if fit is not None:
+                rooms.remove(fit)
+        assert len(windows) == len(rooms)
+
+
+def test_chunks_keep_ids_and_packing_edges(spark, odd):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    full, own = Tokenizer.from_file(path), packing.Tokenizer(path)
+    texts = ["a  b", "x\n y", " \n\n z", "  lead", " tab\t x  y", "it's  'll ok", "a　 b", "", "   ", "<|endoftext|> x", "a\x1c b", "naïve café 12 3.4!"]
+    assert [x.tolist() for x in own.encode(texts)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
+    got = packing.pack(odd, path, capacity=256, group_rows=2).toPandas()
+    assert got[got.doc_id == 1].doc_tokens.tolist() == [1] and (got[got.doc_id == 6].length.sum() == got[got.doc_id == 6].doc_tokens.iloc[0])
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 256
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got.itertuples())
+    assert packing.pack(odd.limit(0), path).count() == 0
+
+
+# media
+
+
+def test_media_round_trip(spark, odd):
+    got = media.sniff_media(media.store_media(odd.withColumn("media", F.lit(1)))).select("doc_id", "text", "n_bytes", "samples", "media", "media_type").collect()
+    assert len(got) == 9
+    for r in got:
+        payload, n = media.pad(r.text)
+        assert (bytes(r.samples), r.n_bytes) == (payload, n) and len(payload) % 192 == 0 and len(payload) > 0
+        assert r.media_type == media.STORED[zlib.crc32(payload) % 5]
+    assert media.sniff_media(media.store_media(odd.limit(0))).count() == 0
+
+
+def test_sniffing_validates_and_carves(spark):
+    import gzip
+
+    magic, inner = media.automaton(), media.pad("hidden")[0]
+    for kind in media.STORED:
+        blob = b"junk BM %PDF- RIFF" + media.store(inner, kind) + b"tail"
+        found = [f for f in media.sniff(blob, magic) if f.kind == kind]
+        assert [(f.start, f.length) for f in found] == [(18, len(blob) - 22)] and media.read_samples(blob, found[0]) == inner
+        assert not [f for f in media.sniff(blob[:-8], magic) if f.kind == kind]  # cut short
+    assert [f.kind for f in media.sniff(gzip.compress(b"x" * 50), magic)] == ["gzip"]
+    broken = bytearray(media.store(inner, "png"))
+    broken[20] ^= 1
+    assert media.sniff(bytes(broken), magic) == []
+    df = spark.createDataFrame([(media.store(inner, "wav"), "png"), (b"nothing", "wav"), (None, None)], "media binary, declared string")
+    assert [(r.media_type, r.type_ok) for r in media.sniff_media(df).collect()] == [("wav", False), (None, False), (None, False)]
+
+
+def test_hash_of_stored_form_is_stable():
+    assert hashlib.sha256(media.store(media.pad("a")[0], "pgm")).hexdigest() == hashlib.sha256(b"P5\n192 1\n255\n" + b"a".ljust(192)).hexdigest()
