@@ -50,9 +50,9 @@ def where_not_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) ->
     As an anti join on the key with the two NULL cases decided by scalar subqueries, so it stays an equi join.
     """
     keys = sub.select(F.col(sub_column).alias("_in"))
-    facts = keys.agg(F.count(F.lit(1)).alias("_n"), F.count("_in").alias("_known"))
-    kept = df.join(keys, F.col(column) == F.col("_in"), "left_anti").crossJoin(facts)  # facts is one row
-    return kept.where((F.col("_n") == F.col("_known")) & (F.col(column).isNotNull() | (F.col("_n") == 0))).drop("_n", "_known")
+    n, known = keys.agg(F.count(F.lit(1)).alias("n")).scalar(), keys.agg(F.count("_in").alias("n")).scalar()
+    kept = df.join(keys, F.col(column) == F.col("_in"), "left_anti")
+    return kept.where((n == known) & (F.col(column).isNotNull() | (n == 0)))
 
 
 def where_exists(df: DataFrame, sub: DataFrame, condition: Column | None = None) -> DataFrame:

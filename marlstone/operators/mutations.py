@@ -56,9 +56,8 @@ def create(base: DataFrame, row: dict, defaults: dict | None = None) -> Change:
 
 def next_ids(base: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """new with key = largest key of base + 1, 2, ... in the order given; new is small, as what one call inserts."""
-    top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    n = F.row_number().over(Window.orderBy(*order))
-    return new.withColumn("_n", n).crossJoin(top).withColumn(key, (F.col("_top") + F.col("_n")).cast(base.schema[key].dataType)).drop("_n", "_top")
+    top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).scalar()
+    return new.withColumn(key, (top + F.row_number().over(Window.orderBy(*order))).cast(base.schema[key].dataType))
 
 
 def update(base: DataFrame, where: Predicate | None, data: dict) -> Change:
