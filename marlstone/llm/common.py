@@ -57,7 +57,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -65,13 +65,16 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that nothing lazy depends on any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes the other tables, once nothing lazy depends on them."""
+        kept = {t._scratch_path for t in tables}
+        for path in [p for p in self.paths if p not in kept]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths.remove(path)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

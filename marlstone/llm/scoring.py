@@ -170,6 +170,7 @@ def score_texts(docs: DataFrame, out, id_col: str = "doc_id", text_col: str = "t
     walk = Walk(total.n or 0, total.v or 0, starts)
     scored = docs.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score(None, id_col, ranges, walk), schema)
     scored = scratch.write(scored, "scored")
+    scratch.keep_only(scored)
     left_out = scored.agg(*[F.sum(f"left_out_{i}").alias(f"s{i}") for i in range(len(BACKOFF))]).first()
     best = max(range(len(BACKOFF)), key=lambda i: left_out[i] or 0.0)
     return scored.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total.n or 0).cast("long").alias("train_tokens"), "base_score", F.col(f"score_{best}").alias("score"))

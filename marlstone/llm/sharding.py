@@ -121,8 +121,10 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = without(df, *OWN).withColumns({
         "_hi": F.xxhash64(F.col(text_col)), "_lo": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "size": utf8_bytes(F.col(text_col)) + overhead,
     })
-    thin = Scratch(spark, "sharding").write(keyed.select("_hi", "_lo", F.col("size").alias("_size")), "keys")
+    scratch = Scratch(spark, "sharding")
+    thin = scratch.write(keyed.select("_hi", "_lo", F.col("size").alias("_size")), "keys")
     found = find_splitters(thin, n_shards, tolerance, fan)
+    scratch.keep_only()
     if found is None:
         return keyed.drop("_hi", "_lo").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     shard_of = np.searchsorted(np.array([*map(found.keys.index, (c for c in found.cuts if c in set(found.keys)))], np.int64) + 1, np.arange(len(found.keys) + 1), "right")
