@@ -9,6 +9,9 @@ such a range two linked sets differ in at most D shingles. The hash space of shi
 * heavy ranges (large sets): D + 1 parts, of which linked sets agree in at least one, so every single part is a signature,
   whose inverted list is scanned.
 
+A few spare parts make up for empty ones, which are no signatures. Shingles of widespread passages are left out of
+the parts, which can only bring two sets closer; sets that have little else are taken whole as well.
+
 The boundary is where enumerating subsets costs more than scanning lists, by the histogram of set sizes. A list
 chains its members to the smallest, never to each other; chained sets form clusters, and only within clusters are sets
 compared, exactly and in blocks, so a large cluster is spread over many tasks and no pair but the linked ones leaves a task.
@@ -17,7 +20,7 @@ compared, exactly and in blocks, so a large cluster is spread over many tasks an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from .components import components
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 21
 #: Bits of the filter that spares documents outside all clusters the second reading; its size is fixed.
 FILTER_BITS = 1 << 23
+#: Cells that shingles are counted in to tell the widespread ones, and the sets that a cell needs at least.
+CELLS, WIDESPREAD = 1 << 22, 64
 
 
 def shingle_sets(texts: list[str | None], size: int = 3) -> Iterator[np.ndarray]:
@@ -53,13 +58,16 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 class Ranges:
-    """The intervals of set sizes, the most that linked sets of a range differ by, and its scheme."""
+    """The intervals of set sizes, the most that linked sets of a range differ by, its scheme and its spare parts.
+
+    With spare parts, linked sets agree in more parts than either has empty ones, so empty parts needn't be signatures.
+    """
 
     def __init__(self, num: int, den: int, histogram: dict[int, int], scan_cost: float = 2.0):
         self.bounds, largest = [1], max(histogram, default=1)
         while self.bounds[-1] <= largest:
             self.bounds.append(self.bounds[-1] * den // num + 1)
-        self.differ, self.light = [], []
+        self.differ, self.light, self.spare = [], [], []
         per = np.zeros(len(self.bounds) + 1)
         for n, c in histogram.items():
             per[np.searchsorted(self.bounds, n, "right") - 1] += c
@@ -70,36 +78,82 @@ class Ranges:
             sets = per[i] + (per[i - 1] if i else 0)
             subsets, lists = sets * comb(d + 2, 2), sets * (d + 1) * (1 + scan_cost)
             self.light.append(bool(subsets <= lists))
+            empty = (d + 1) * exp(-0.8 * self.bounds[i] / (d + 1))
+            self.spare.append(ceil(empty + 3 * empty**0.5) + 1 if d else 0)
 
     def of(self, n: int) -> tuple[int, int]:
         """The two ranges a set of n shingles takes part in: its own interval's, and the next, as the smaller side."""
         i = int(np.searchsorted(self.bounds, n, "right")) - 1
         return i, i + 1
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s))])
+    def signatures(self, s: np.ndarray, cold: np.ndarray) -> np.ndarray:
+        """Parts of the shingles that aren't widespread; if too many of those are empty, parts of all shingles too, and then empty ones."""
         out = []
+        rare = s[cold]
         for i in self.of(len(s)):
             if i >= len(self.differ):
                 continue
-            parts = self.differ[i] + 1 + self.light[i]
-            edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-            at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-            tag = np.arange(parts, dtype=np.uint64) + np.uint64(i << 32)
-            one = combine(tag, sums[at[1:]] - sums[at[:-1]], (at[1:] - at[:-1]).astype(np.uint64))
-            if self.light[i]:
-                a, b = np.triu_indices(parts, 1)
-                one = combine(one[a], one[b])
-            out.append(one)
+            parts = self.differ[i] + 1 + self.light[i] + self.spare[i]
+            for kind, some in enumerate((rare, s)):
+                one, full = self._parts(some, parts, i << 34 | kind << 32)
+                out.append(self._subsets(one, full, self.light[i], False))
+                enough = parts - full.sum() <= self.spare[i] + self.light[i]
+                if enough or len(some) == len(s):
+                    break
+            if not enough:
+                one, full = self._parts(s, parts, i << 34 | 2 << 32)
+                out.append(self._subsets(one, full, self.light[i], True))
         return np.concatenate(out)
 
+    @staticmethod
+    def _parts(s: np.ndarray, parts: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s))])
+        edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+        at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
+        return combine(np.arange(parts, dtype=np.uint64) + np.uint64(tag), sums[at[1:]] - sums[at[:-1]]), at[1:] > at[:-1]
+
+    @staticmethod
+    def _subsets(one: np.ndarray, full: np.ndarray, two: bool, empty: bool) -> np.ndarray:
+        if not two:
+            return one[~full] if empty else one[full]
+        a, b = np.triu_indices(len(one), 1)
+        keep = ~(full[a] | full[b]) if empty else full[a] | full[b]
+        return combine(one[a[keep]], one[b[keep]])
+
+
+def _widespread(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
+    """One bit per hash cell: whether its shingles are in far more distinct sets than most. Any choice gives the same links.
+
+    Tasks report cells that they met often; at most CELLS numbers reach the driver, and CELLS / 8 bytes go out.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int32)
+        seen: set[int] = set()
+        for batch in batches:
+            for s in shingle_sets(batch.column(0).to_pylist(), size):
+                if len(s) and (p := fingerprint(s)) not in seen:
+                    seen.add(p)
+                    n[(s & np.uint64(CELLS - 1)).astype(np.int64)] += 1
+            if len(seen) > 1 << 18:
+                seen.clear()
+        often = np.flatnonzero(n >= 4)
+        yield pa.record_batch([pa.array(often), pa.array(n[often].astype(np.int64))], ["cell", "n"])
+
+    counts = docs.select(text_col).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n >= {WIDESPREAD}").toPandas()
+    out = np.zeros(CELLS, bool)
+    n = counts.n.to_numpy(np.int64)
+    out[counts.cell.to_numpy(np.int64)[n >= WIDESPREAD + 4 * n.sum() // CELLS]] = True
+    return np.packbits(out)
+
 
-def _signatures(docs: DataFrame, text_col: str, size: int, ranges: Ranges, buckets: int) -> DataFrame:
+def _signatures(docs: DataFrame, text_col: str, size: int, ranges: Ranges, buckets: int, widespread: np.ndarray) -> DataFrame:
     """bucket, blob: pairs (signature, fingerprint), each set once a partition."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs, prints, n = [], [], 0
+        hot = np.unpackbits(widespread).astype(bool)
 
         def flush():
             s, f = np.concatenate(sigs), np.repeat(np.array([p for p, _ in prints], np.int64), [k for _, k in prints])
@@ -114,7 +168,7 @@ def _signatures(docs: DataFrame, text_col: str, size: int, ranges: Ranges, bucke
             for s in shingle_sets(batch.column(0).to_pylist(), size):
                 if len(s) and (p := fingerprint(s)) not in seen:
                     seen.add(p)
-                    sigs.append(ranges.signatures(s))
+                    sigs.append(ranges.signatures(s, ~hot[(s & np.uint64(CELLS - 1)).astype(np.int64)]))
                     prints.append((p, len(sigs[-1])))
                     n += len(sigs[-1])
                     if n > 1 << 20:
@@ -286,7 +340,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = Ranges(num, den, histogram)
     total = sum(n * c for n, c in histogram.items())
     buckets = max(shuffle_width(spark), total // (1 << 21))
-    chains = scratch.write(_chains(_signatures(docs, text_col, size, ranges, buckets)), "chains")
+    chains = scratch.write(_chains(_signatures(docs, text_col, size, ranges, buckets, _widespread(docs, text_col, size))), "chains")
     clusters = scratch.write(components(chains, scratch), "clusters")
     found = _sets(docs, text_col, size, _filter_words(clusters))
     sizes = clusters.join(classes, "node").groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
@@ -308,6 +362,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_class = joined.join(least, "root").join(degree, "node", "left")
     of_class = of_class.select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     of_class = scratch.write(of_class, "of-class")
+    scratch.keep_only(thin, of_class)
     return thin.join(of_class, "node", "left").select(
         id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
