@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: Longest run of bytes hashed at once; a single longer text is taken whole.
 CHUNK_BYTES = 1 << 20
 
+#: Rows in an Arrow batch, where the session doesn't say otherwise.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -31,7 +35,10 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it; a cluster that ships it another way isn't disturbed."""
+    """Bounds Arrow batches, and lets Python workers import this package from where the driver has it; a cluster that ships it
+    another way isn't disturbed."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own default, which whole texts make too large for a small worker
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -24,8 +24,10 @@ from .suffixes import repeated_starts
 
 LENGTH, GRAM = 400, 64
 #: Bytes of segments in a shard, and distinct segments of one anchor from which its windows are counted by hash.
-SHARD_BYTES, MANY = 2 << 20, 1000
+SHARD_BYTES, MANY = 1 << 19, 600
 FILTER_BITS = 1 << 23
+#: Texts that a task holds outside Arrow's buffers at a time.
+SLICE = 256
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -101,16 +103,17 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for b in batches:
-            names, texts, keep = b.column(0).to_pylist(), _encoded(b.column(1)), []
+            names, keep = b.column(0).to_pylist(), []
             for k, x in enumerate(names):
                 if seen.get(x, 0) < 2:
                     seen[x] = seen.get(x, 0) + 1
                     keep.append(k)
             if len(seen) > 1 << 18:
                 seen.clear()
-            names = np.array([names[k] for k in keep], np.int64)
-            for doc, anchor, whole, start, n in segments([texts[k] for k in keep], length, gram):
-                yield pa.record_batch([pa.array(names[doc]), pa.array(anchor), pa.array(whole), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["text", "anchor", "whole", "start", "n"])
+            for part in (keep[i : i + SLICE] for i in range(0, len(keep), SLICE)):
+                own = np.array([names[k] for k in part], np.int64)
+                for doc, anchor, whole, start, n in segments(_encoded(b.column(1).take(pa.array(part))), length, gram):
+                    yield pa.record_batch([pa.array(own[doc]), pa.array(anchor), pa.array(whole), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["text", "anchor", "whole", "start", "n"])
 
     return docs.where(F.octet_length("_text") >= length).select("_name", "_text").mapInArrow(emit, "text long, anchor long, whole long, start int, n int")
 
@@ -155,7 +158,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, scratch: Scratch, length: int)
     joined = texts.join(of_text, texts["_name"] == of_text["text"]).select("text", "_text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, len(x), SLICE)):
             rows = []
             for name, t, wanted in zip(b.column(0).to_pylist(), _encoded(b.column(1)), b.column(2).to_pylist(), strict=True):
                 rows += [(name, w["anchor"], w["n_rows"], w["many"], w["start"], t[w["start"] : w["start"] + w["n"] - 1 + length]) for w in wanted]
@@ -267,8 +270,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
         sorted_ = pieces.where("not many").select(shard, "text", "n_rows", "start", "bytes").groupBy("shard").applyInArrow(_sort_shard(length), _FOUND)
         found = found.unionByName(sorted_)
     if True in size:
-        blocks = max(shuffle_width(spark), -(-size[True][0] // shard_bytes))
-        ranges = max(shuffle_width(spark) // 2, -(-size[True][1] * length // (2 << 20)), 1)
+        blocks = max(shuffle_width(spark), -(-size[True][0] // (2 * shard_bytes)))
+        ranges = max(shuffle_width(spark) // 2, -(-size[True][1] * length // (1 << 20)), 1)
         hot = pieces.where("many").select(F.pmod(F.xxhash64("text", "start", "anchor"), F.lit(blocks)).alias("block"), "text", "n_rows", "start", "bytes")
         asked = hot.groupBy("block").applyInArrow(_ask(length, ranges), "block long, range int, keys binary, counts binary")
         answers = asked.groupBy("range").applyInArrow(_answer, "block long, range int, twice binary, n long")
@@ -290,6 +293,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     found = repeated_spans(named.select("_name", "_text"), scratch, length, gram, many, shard_bytes)
     spans = found.groupBy("text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     spans = scratch.write(spans, "spans")
+    scratch.keep_only(spans)
     hit = _maybe(_bits(spans, "text"))
     run = "array<struct<start:int,end:int>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -297,9 +301,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     @F.arrow_udf(f"n_bytes long, removed {run}, kept binary")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         size, removed, kept = [], [], []
-        for t, s in zip(_encoded(texts), spans.to_pylist(), strict=True):
-            runs: list[dict] = []
-            for x in s or ():
+        for t, s in zip(texts, spans, strict=True):
+            t, runs = (t.as_py() or "").encode("utf-8", "surrogatepass"), []
+            for x in s.as_py() or ():
                 if runs and x["start"] <= runs[-1]["end"]:
                     runs[-1]["end"] = max(runs[-1]["end"], x["end"])
                 else:

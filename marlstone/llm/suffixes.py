@@ -17,7 +17,8 @@ import numpy as np
 from .common import mix, powers
 
 #: Bytes that the queues of one sort hold in memory; more goes to files in Spark's own local folder, gone when closed.
-QUEUE_BYTES = 256 << 20
+QUEUE_BYTES = 64 << 20
+_VALUES = mix(np.arange(258, dtype=np.uint64) + np.uint64(99))
 
 
 def _local_dir() -> str | None:
@@ -77,7 +78,7 @@ class Text:
         self.s = step[known[np.searchsorted(known, np.arange(self.n))]] > 0  # runs of equal characters follow what ends them
         self.lms = np.flatnonzero(self.s[1:] & ~self.s[:-1]) + 1
         self.h = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(mix(chars.astype(np.uint64) + np.uint64(99)) * powers(self.n)[0], out=self.h[1:])
+        np.cumsum(_VALUES[chars] * powers(self.n)[0], out=self.h[1:])
 
     def span(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (self.h[at + n] - self.h[at]) * powers(self.n)[1][np.minimum(at, self.n - 1)]
