@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ CAPACITY = 2048
 END = 1
 #: Distinct chunks of text whose ids a worker remembers, at most.
 REMEMBERED = 200_000
-_CUT = re.compile(r"(?= \S)")
+FIRST = "\0first:"
+_CUT = re.compile(r" (?=\S)")
+_RUN = re.compile(r" (?!\S)")
 
 
 class OpenWindows:
@@ -135,15 +138,18 @@ class Tokenizer:
 
         self.tried = True
         self.core = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(self.public), special_tokens={})
-        if [self._one(c) for c in chunks] != self._whole(chunks):
+        if [self._one(c) for c in chunks] != self._all(chunks):
             self.core = None
 
+    def _all(self, chunks: list[str]) -> list[bytes]:
+        return self._whole([c.removeprefix(FIRST) if c.startswith(FIRST) else " " + c for c in chunks])
+
     def _one(self, chunk: str) -> bytes:
-        if chunk.lstrip(" ").isalpha() and not chunk.startswith("  "):
-            ids = self.core._core_bpe.encode_single_piece(chunk.encode())
+        if chunk.isalpha():
+            ids = self.core._core_bpe.encode_single_piece(b" " + chunk.encode())
         else:
-            ids = self.core.encode_ordinary(chunk)
-        return np.array(ids, np.uint32).tobytes()
+            ids = self.core.encode_ordinary(chunk.removeprefix(FIRST) if chunk.startswith(FIRST) else " " + chunk)
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -157,15 +163,22 @@ class Tokenizer:
             if len(self.known) > self.remembered:
                 self.known = {}
             known = self.known
-            fresh = [c for c in dict.fromkeys(chunks) if c not in known]
-            known.update(zip(fresh, map(self._one, fresh) if self.core else self._whole(fresh), strict=True))
+            fresh = [*set(chunks).difference(known)]
+            known.update(zip(fresh, map(self._one, fresh) if self.core else self._all(fresh), strict=True))
             out[i] = np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
         return out
 
 
 def chunked(text: str) -> list[str]:
-    """The text cut before each blank that precedes a visible character: places where the byte-level split always cuts."""
-    return [c for c in _CUT.split(text) if c]
+    """The text cut before each blank that precedes a visible character: places where the byte-level split always cuts.
+
+    The blank that starts every chunk but the first is left out; a first chunk is marked by FIRST.
+    """
+    if not text:
+        return []
+    out = text.split(" ") if not _RUN.search(text) else _CUT.split(text)
+    out[0] = FIRST + out[0]
+    return out
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int, end: int, with_ids: bool) -> DataFrame:
@@ -198,7 +211,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = True, group_rows: int = 20_000, most_groups: int = 1 << 17) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = True, group_rows: int = 2_000, most_groups: int = 1 << 17) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids unless with_ids is off.
 
     A null or empty text is its end mark alone. Equal rows are packed as separate pieces; an empty table gives no rows;
