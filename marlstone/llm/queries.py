@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, media, packing, pii, repeats, scoring, sharding, similarity
+from . import chat, decontamination, language, media, packing, pii, repeats, scoring, sharding, similarity
 
-MODULES = [sharding, similarity, media, language, decontamination, pii, packing, repeats, scoring]
+MODULES = [chat, sharding, similarity, media, language, decontamination, pii, packing, repeats, scoring]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
