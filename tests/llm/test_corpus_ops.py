@@ -210,3 +210,23 @@ def test_scoring_edges(spark):
 def test_number_blobs():
     for x in ([], [0], [1, 255, 256], [2**63, 5]):
         assert scoring.grow(scoring.shrink(np.array(x, np.uint64))).tolist() == x
+
+
+def test_linked_sets_share_a_signature_whatever_is_widespread():
+    rng = np.random.default_rng(6)
+    kinds = [(num, similarity.Ranges(num, 100, {k: 10 for k in range(1, 90)}, scan_cost=cost)) for num in (80, 90) for cost in (-1.0, 2.0, 1e9)]
+    linked = 0
+    for _ in range(3000):
+        num, ranges = kinds[rng.integers(len(kinds))]
+        n, most = int(rng.integers(2, 60)), 0
+        pool = np.unique(rng.integers(0, 1 << 63, n + 10, dtype=np.uint64) * np.uint64(2))
+        most = max(1, n * (100 - num) // 100)
+        a = np.sort(rng.choice(pool, n, replace=False))
+        b = np.setdiff1d(a, rng.choice(a, int(rng.integers(0, most + 1)), replace=False))
+        b = np.union1d(b, rng.choice(np.setdiff1d(pool, a), min(int(rng.integers(0, most + 1)), len(pool) - n), replace=False))
+        both = len(np.intersect1d(a, b))
+        if both * 100 >= num * (len(a) + len(b) - both):
+            linked += 1
+            hot = [np.setdiff1d(b, a), rng.choice(b, int(rng.integers(0, len(b))), replace=False), pool][rng.integers(3)]
+            assert np.intersect1d(ranges.signatures(a, ~np.isin(a, hot)), ranges.signatures(b, ~np.isin(b, hot))).size
+    assert linked > 500
