@@ -201,12 +201,12 @@ def _sort_shard(length: int):
 
 
 def _windows(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of all windows of some segments, and where each segment's begin."""
+    """64-bit hashes of all windows of some segments, and where each segment's begin."""
     out, at = [], [0]
     for b in blobs:
         s = prefix_hash(np.frombuffer(b, np.uint8))
         n = len(b) - length + 1
-        out.append(mix((s[length:] - s[:-length]) * powers(len(b))[1][:n]) >> np.uint64(16))
+        out.append(mix((s[length:] - s[:-length]) * powers(len(b))[1][:n]))
         at.append(at[-1] + n)
     return np.concatenate(out), np.array(at)
 
@@ -217,7 +217,7 @@ def _ask(length: int, ranges: int):
         keys, back = np.unique(hashes, return_inverse=True)
         weight = np.repeat(np.minimum(block.column("n_rows").to_numpy(), 2), np.diff(at))
         n = np.minimum(np.bincount(back, weights=weight), 2).astype(np.int64)
-        cut = [0, *cuts(keys, 48, ranges), len(keys)]
+        cut = [0, *cuts(keys, 64, ranges), len(keys)]
         rows = [(key[0].as_py(), r, shrink(np.diff(keys[a:b], prepend=np.uint64(0))), shrink(n[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
         return pa.table({c: pa.array(x, t) for c, t, x in zip(("block", "range", "keys", "counts"), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), zip(*rows, strict=True), strict=True)})
 
