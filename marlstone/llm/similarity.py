@@ -316,24 +316,30 @@ def _compare(num: int, den: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_sets: int = BLOCK_SETS) -> DataFrame:
+def _measure(size: int):
+    """A function of texts: n, the number of shingles, and node, the fingerprint of their set."""
+
+    @F.arrow_udf("n long, node long")
+    def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            got = [(len(s), fingerprint(s) if len(s) else None) for s in shingle_sets(batch.to_pylist(), size)]
+            yield pa.StructArray.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["n", "node"])
+
+    return measure
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, block_sets: int = BLOCK_SETS, by_row: bool = False) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included) and n_links.
 
     Two documents link when den * |intersection| >= num * |union|. Words are runs without the six ASCII blanks, A-Z
     lower-cased. A null text, or one without words, has no shingles and no links. Equal texts link. Repeated rows stay
     repeated rows; a null id is never a component's name unless all its ids are null. An empty table gives no rows;
-    other columns of the input aren't carried.
+    other columns of the input aren't carried. With by_row, node (the set's fingerprint) and root (its component's node,
+    whatever the ids) come too, null where there are no shingles.
     """
     spark = session(docs)
     scratch = Scratch(spark, "similarity")
-
-    @F.arrow_udf("n long, node long")
-    def measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            got = [(len(s), fingerprint(s) if len(s) else None) for s in shingle_sets(batch.to_pylist(), size)]
-            yield pa.StructArray.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["n", "node"])
-
-    thin = scratch.write(docs.select(F.col(id_col), measure(text_col).alias("m")).select(id_col, "m.n", "m.node"), "sizes")
+    thin = scratch.write(docs.select(F.col(id_col), _measure(size)(text_col).alias("m")).select(id_col, "m.n", "m.node"), "sizes")
     classes = thin.where("n > 0").groupBy("node").agg(F.min(id_col).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = scratch.write(classes, "classes")
     histogram = {r.n: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -360,23 +366,45 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = joined.join(least, "root").join(degree, "node", "left")
-    of_class = of_class.select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_class = of_class.select("node", "root", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     of_class = scratch.write(of_class, "of-class")
     scratch.keep_only(thin, of_class)
     return thin.join(of_class, "node", "left").select(
         id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *(("node", "root") if by_row else ()),
     )
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id names their group; of rows that repeat an id, one. Rows with a null id stay."""
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """One row of docs for each component: its smallest id, which a null is not, unless all are null.
+
+    With repeated or null ids that takes groups by row, of the same text_col and size: rows are then told apart by their
+    sets, rows of one id and one set by a hash, and rows without words all stay. Of groups that aren't by row, one row
+    of a repeated id stays, and all rows with a null id.
+    """
+    unique = groups.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty()
+    if "root" in groups.columns and not unique:
+        return _keep_rows(docs, groups, id_col, text_col, size)
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col)
     out = docs.join(kept, id_col, "left_semi")
-    if kept.groupBy(id_col).count().where("count > 1").isEmpty() is False:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns])))).where("_n = 1").drop("_n")
+    if unique:
+        return out
+    out = out.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns])))).where("_n = 1").drop("_n")
     return out.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def _keep_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """keep_one for any ids; rows of one id and one set are aggregated, so that many of them don't meet in one task."""
+    own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "node")
+    first = groups.where("root is not null").groupBy("root").agg(F.min(own).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.node").alias("_first"))
+    rows = docs.withColumn("_node", _measure(size)(text_col)["node"])
+    kept = rows.join(first, rows["_node"].eqNullSafe(first["_first"]) & rows[id_col].eqNullSafe(first["_id"]), "left").where("_node is null or _first is not null")
+    row = F.struct(*[f"`{c}`" for c in docs.columns])
+    alone = F.when(F.col("_node").isNull(), F.monotonically_increasing_id())
+    one = kept.groupBy("_node", id_col, alone.alias("_alone")).agg(F.min_by(row, F.xxhash64(*[f"`{c}`" for c in docs.columns])).alias("_row"))
+    return one.select("_row.*")
+
+
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -75,6 +75,16 @@ def test_jaccard_edges(spark):
     assert similarity.keep_one(df, similarity.jaccard_groups(df)).where("doc_id = 3").count() == 1
 
 
+def test_keep_one_goes_by_rows_when_ids_repeat_or_are_null(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base, "end"])
+    rows = [(1, " ".join(base)), (2, near), (2, "quite another text here"), (2, "quite another text here"), (7, "one more of id seven"), (7, "and yet another with it"),
+            (None, near), (None, "copied without an id"), (None, "copied without an id"), (None, "alone without an id"), (8, None), (8, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = similarity.keep_one(df, similarity.jaccard_groups(df, by_row=True)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([rows[k] for k in (0, 2, 4, 5, 7, 9, 10, 11, 12)])
+
+
 def test_ranges_cover_all_linked_sizes():
     for num, den in ((90, 100), (80, 100)):
         r = similarity.Ranges(num, den, {1: 1, 3000: 1})
