@@ -20,7 +20,6 @@ from .common import Scratch, session, table, without
 #: N-grams in a profile.
 PROFILE = 300
 UNKNOWN = "und"
-OWN = ("lang_pred", "score")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BLANK = np.int64(32)
 
@@ -59,9 +58,13 @@ class Profiles:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """The language and 1 - distance / longest distance; ties go to the first name."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """What nearest gives, and the number of n-grams in the text's own profile."""
         g = grams(text or "")
         if not len(g) or not self.names:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         own = ranked(*np.unique(g, return_counts=True), self.size)
         place = np.arange(len(own))
         far = []
@@ -69,7 +72,7 @@ class Profiles:
             k = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
             far.append(int(np.where(codes[k] == own, np.abs(ranks[k] - place), self.size).sum()))
         best = int(np.argmin(far))
-        return self.names[best], 1.0 - min(1.0, far[best] / (len(own) * self.size))
+        return self.names[best], 1.0 - min(1.0, far[best] / (len(own) * self.size)), len(own)
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 4, fold: int = 2) -> Column:
@@ -127,21 +130,22 @@ def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return codes, n
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1).
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_grams: bool = False) -> DataFrame:
+    """docs with lang_pred and score (0 to 1), and with_grams the n-grams (n_grams) that the score is over.
 
     A null text, one without letters, or an empty set of profiles gives und and 0. Equal texts get equal results; long
     texts are read whole; an empty table gives an empty result; input columns of the same names are replaced.
     """
     session(docs)
+    kinds = {"lang_pred": pa.string(), "score": pa.float64()} | ({"n_grams": pa.int64()} if with_grams else {})
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double" + ", n_grams long" * with_grams)
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            got = [profiles.nearest(t) for t in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["lang_pred", "score"])
+            got = [profiles.judge(t) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
-    out = without(docs, *OWN).withColumn("_lang", predict(F.col(text_col)))
+    out = without(docs, *kinds).withColumn("_lang", predict(F.col(text_col)))
     return out.select(*[f"`{c}`" for c in out.columns if c != "_lang"], "_lang.*")
 
 

@@ -62,6 +62,18 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             assert pieces.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_language_stage_rejects_by_score(spark, sf_dir):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = [r.text for r in docs.where("length(text) > 200").orderBy("doc_id").limit(20).collect()]
+    dutch = "De kat zat op de mat en keek naar de vogels in de tuin terwijl de kinderen buiten speelden met een rode bal. Later die avond ging iedereen samen aan tafel zitten om te eten en te praten over de dag. Het was een mooie zomer en niemand wilde naar binnen gaan voordat het donker werd, want de lucht was nog warm en de bomen stonden vol met rijpe appels."
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    short = [" ".join(t.split()[:4]) for t in known]
+    extra = spark.createDataFrame([(1000 + i, t, None, "x", len(t)) for i, t in enumerate([dutch, noise, *short])], docs.schema)
+    left = {r.doc_id for r in cp.language_stage(spark, docs.unionByName(extra), sf_dir).where("doc_id >= 1000").collect()}
+    assert left == {1002 + i for i in range(len(short))}
+
+
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = cp.run(spark, sf_dir)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
