@@ -12,8 +12,8 @@ such a range two linked sets differ in at most D shingles. The hash space of shi
 A few spare parts make up for empty ones, which are no signatures. Shingles of widespread passages are left out of
 the parts, which can only bring two sets closer; sets that have little else are taken whole as well.
 
-The boundary is where enumerating subsets costs more than scanning lists, by the histogram of set sizes. A list
-chains its members to the smallest, never to each other; chained sets form clusters, and only within clusters are sets
+The boundary is where subsets of two parts outnumber three times the single parts, which is at D = 4 whatever the data:
+light ranges are those with D <= 4. A list chains its members to the smallest, never to each other; chained sets form clusters, and only within clusters are sets
 compared, exactly and in blocks, so a large cluster is spread over many tasks and no pair but the linked ones leaves a task.
 """
 
@@ -63,21 +63,16 @@ class Ranges:
     With spare parts, linked sets agree in more parts than either has empty ones, so empty parts needn't be signatures.
     """
 
-    def __init__(self, num: int, den: int, histogram: dict[int, int], scan_cost: float = 2.0):
+    def __init__(self, num: int, den: int, histogram: dict[int, int], scan_cost: int = 2):
         self.bounds, largest = [1], max(histogram, default=1)
         while self.bounds[-1] <= largest:
             self.bounds.append(self.bounds[-1] * den // num + 1)
         self.differ, self.light, self.spare = [], [], []
-        per = np.zeros(len(self.bounds) + 1)
-        for n, c in histogram.items():
-            per[np.searchsorted(self.bounds, n, "right") - 1] += c
         for i in range(len(self.bounds) - 1):
             top = 2 * (self.bounds[i + 1] - 1)
             d = max(s - 2 * -(-num * s // (num + den)) for s in range(max(2, top - 2 * (num + den)), top + 1))
             self.differ.append(d)
-            sets = per[i] + (per[i - 1] if i else 0)
-            subsets, lists = sets * comb(d + 2, 2), sets * (d + 1) * (1 + scan_cost)
-            self.light.append(bool(subsets <= lists))
+            self.light.append(comb(d + 2, 2) <= (d + 1) * (1 + scan_cost))
             empty = (d + 1) * exp(-0.8 * self.bounds[i] / (d + 1))
             self.spare.append(ceil(empty + 3 * empty**0.5) + 1 if d else 0)
 

@@ -96,6 +96,12 @@ def test_ranges_cover_all_linked_sizes():
                     assert i in r.of(n) and i in r.of(m) and n + m - 2 * need <= r.differ[i]
 
 
+def test_light_ranges_are_those_of_small_differences():
+    r = similarity.Ranges(90, 100, {3000: 1})
+    assert r.light == [d <= 4 for d in r.differ] and {True, False} == set(r.light)
+    assert r.light == similarity.Ranges(90, 100, {n: 9 for n in range(1, 3001)}).light
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(20)]
