@@ -8,6 +8,7 @@ none. What stands at the start of a blob decides its true type, whatever was dec
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,8 +23,8 @@ from .common import session, table, without
 
 #: Samples in a row of an image, and the unit that payloads are padded to.
 UNIT = 192
-#: Largest uncompressed size that a compressed member may claim before it is refused.
-MOST_INFLATED = 1 << 28
+#: Compressed bytes that go into a decompressor, and bytes that it gives out, at a time.
+DEFLATED, INFLATED = 1 << 16, 1 << 20
 
 # Magic bytes and where in a file they stand.
 MAGIC = [
@@ -165,17 +166,60 @@ def _jpeg(b: bytes, at: int) -> Found | None:
 
 
 def _gzip(b: bytes, at: int) -> Found | None:
-    d = zlib.decompressobj(31)
+    d, k, n = zlib.decompressobj(31), at, 0
     try:
-        n = len(d.decompress(b[at:], MOST_INFLATED))
+        while not d.eof and k < len(b):
+            some, k = b[k : k + DEFLATED], min(len(b), k + DEFLATED)
+            while True:  # what comes out is only counted
+                got = len(d.decompress(some, INFLATED))
+                n, some = n + got, d.unconsumed_tail
+                if d.eof or not some and got < INFLATED:
+                    break
     except zlib.error:
         return None
-    return Found("gzip", at, len(b) - at - len(d.unused_data), None, f"{n}B") if d.eof else None
+    return Found("gzip", at, k - len(d.unused_data) - at, None, f"{n}B") if d.eof else None
+
+
+_STARTXREF = re.compile(rb"startxref\s+(\d{1,18})\s+\Z")
+_SECTION = re.compile(rb"\s*(?:xref\s|\d{1,10}\s+\d{1,5}\s+obj\b)")
+_PREV = re.compile(rb"/Prev\s+(\d{1,18})")
+
+
+def _pdf_chain(b: bytes, at: int, end: int, known: set[int]) -> list[int] | None:
+    """Offsets of the cross-reference sections from the startxref before end along Prev, up to a known one; None if any is none."""
+    m = _STARTXREF.search(b, max(at, end - 64), end)
+    chain: list[int] = []
+    x = int(m[1]) if m else None
+    while x is not None and x not in known:
+        s = at + x
+        if x in chain or s >= end or not (head := _SECTION.match(b, s, end)):
+            return None
+        chain.append(x)
+        if head[0].lstrip().startswith(b"xref"):
+            s = b.find(b"trailer", s, end)
+            stop = b.find(b"startxref", s, end)
+        else:
+            stop = b.find(b"stream", s, end)
+        if s < 0 or stop < 0:
+            return None
+        prev = _PREV.search(b, s, stop)
+        x = int(prev[1]) if prev else None
+    return [*chain, x] if x is not None else chain if m else None
 
 
 def _pdf(b: bytes, at: int) -> Found | None:
+    """Up to the first %%EOF, and on to each later one whose sections lead back to those before it."""
     end = b.find(b"%%EOF", at)
-    return Found("pdf", at, end + 5 - at, None, b[at + 5 : at + 8].decode("latin-1")) if end > 0 and b.find(b"startxref", at, end) > 0 else None
+    if end < 0 or b.find(b"startxref", at, end) < 0:
+        return None
+    first, known = _STARTXREF.search(b, max(at, end - 64), end), set(_pdf_chain(b, at, end, set()) or ())
+    linear = first is not None and int(first[1]) == 0  # its first part's sections are reached from the last startxref only
+    k = end
+    while (known or linear) and (k := b.find(b"%%EOF", k + 5)) >= 0:
+        chain = _pdf_chain(b, at, k, known)
+        if chain and max(chain) > end - at and (linear and min(chain) < end - at or chain[-1] in known):
+            known, linear, end = known | set(chain), False, k
+    return Found("pdf", at, end + 5 - at, None, b[at + 5 : at + 8].decode("latin-1"))
 
 
 VALIDATORS = {"wav": _wav, "bmp": _bmp, "png": _png, "pgm": _pgm, "au": _au, "gif": _gif, "jpeg": _jpeg, "gzip": _gzip, "pdf": _pdf}

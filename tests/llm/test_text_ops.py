@@ -246,5 +246,44 @@ def test_sniffing_validates_and_carves(spark):
     assert [(r.media_type, r.type_ok) for r in media.sniff_media(df).collect()] == [("wav", False), (None, False), (None, False)]
 
 
+def test_gzip_of_any_size(monkeypatch):
+    import gzip
+
+    magic = media.automaton()
+    c, zeros = zlib.compressobj(9, zlib.DEFLATED, 31), bytes(1 << 24)
+    large = b"".join(c.compress(zeros) for _ in range(17)) + c.flush()  # 272 MiB
+    noise = random.Random(2).randbytes(300_000)
+    for blob, n in ((large, 17 << 24), (gzip.compress(noise), len(noise)), (gzip.compress(b""), 0), (gzip.compress(bytes(1 << 20)), 1 << 20)):
+        found = [f for f in media.sniff(b"ab" + blob + b"tail", magic) if f.start == 2]
+        assert [(f.kind, f.length, f.detail) for f in found] == [("gzip", len(blob), f"{n}B")]
+        assert not [f for f in media.sniff(blob[:-3], magic) if f.start == 0]
+
+
+def test_pdf_with_later_revisions():
+    magic = media.automaton()
+
+    def revise(pdf: bytes, prev: int | None, stream: bool = False) -> tuple[bytes, int]:
+        pdf += b"1 0 obj << /Length 3 >> stream\nabc\nendstream endobj\n"
+        at, link = len(pdf), b"" if prev is None else b" /Prev %d" % prev
+        if stream:
+            body = b"9 0 obj << /Type /XRef%s >>\nstream\nxyz\nendstream\nendobj\n" % link
+        else:
+            body = b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Size 2%s >>\n" % link
+        return pdf + body + b"startxref\n%d\n%%%%EOF" % at, at
+
+    lengths = lambda blob: [(f.start, f.length) for f in media.sniff(blob, magic) if f.kind == "pdf"]
+    one, x1 = revise(b"%PDF-1.4\n", None)
+    two, x2 = revise(one + b"\n", x1)
+    three, _ = revise(two + b"\r\n", x2, stream=True)
+    for pdf in (one, two, three):
+        assert lengths(b"junk" + pdf + b"\ntail %%EOF") == [(4, len(pdf))]
+    assert lengths(revise(one + b"\n", x1 + 1)[0]) == [(0, len(one))]  # Prev leads nowhere
+    assert lengths(one + b"\n" + two) == [(0, len(one)), (len(one) + 1, len(two))]  # two files
+    # linearized: the first part's section names the main one after it, and the last startxref names the first part's
+    first = b"%%PDF-1.4\nxref\n0 1\n0000000000 65535 f \ntrailer\n<< /Prev %4d >>\nstartxref\n0\n%%%%EOF\n"
+    whole = first % len(first % 0) + b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< >>\nstartxref\n9\n%%EOF"
+    assert lengths(whole) == [(0, len(whole))]
+
+
 def test_hash_of_stored_form_is_stable():
     assert hashlib.sha256(media.store(media.pad("a")[0], "pgm")).hexdigest() == hashlib.sha256(b"P5\n192 1\n255\n" + b"a".ljust(192)).hexdigest()
