@@ -85,7 +85,7 @@ def _at_most_255(part: str) -> bool:
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further candidates, none touching a base span or an earlier candidate."""
     taken, out = sorted((s, e) for _, s, e in base), []
-    low = text.lower() if "at" in text or "AT" in text else ""
+    low = text.lower() if any(x in text for x in "([{") else ""
     found = [("email", m) for m in _SPELLED.finditer(text)] if any(x in low for x in ("(at)", "[at]", "{at}")) else []
     found += [("card", m) for m in _LOOSE_CARD.finditer(text)] + [("phone", m) for m in _LOOSE_PHONE.finditer(text)]
     for kind, m in found:

@@ -285,5 +285,11 @@ def test_pdf_with_later_revisions():
     assert lengths(whole) == [(0, len(whole))]
 
 
+def test_spelled_out_addresses_in_any_case():
+    for mark in ("(at)", "(At)", "[aT]", "{AT}"):
+        text = f"john {mark} firm (dot) com"
+        assert pii.loose_spans(text, []) == [("email", 0, len(text))]
+
+
 def test_hash_of_stored_form_is_stable():
     assert hashlib.sha256(media.store(media.pad("a")[0], "pgm")).hexdigest() == hashlib.sha256(b"P5\n192 1\n255\n" + b"a".ljust(192)).hexdigest()
