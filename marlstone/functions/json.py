@@ -9,12 +9,23 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.errors import InvalidQuery
+
+
+def _step(key: str) -> str:
+    """One key of a path. Which quotes a path may hold differs between JSON functions, so a key with one goes after a dot."""
+    if "'" not in key and "?" not in key:
+        return f"['{key}']"
+    if any(c in key for c in ".["):
+        raise InvalidQuery(f"a JSON path can't hold the key {key!r}")
+    return f".{key}"
+
 
 def path_of(path: str | list[str | int]) -> str:
     """'$.a[0]' as it is; a list of keys and indexes as a path."""
     if isinstance(path, str):
         return path if path.startswith("$") else f"$.{path}"
-    return "$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path)
+    return "$" + "".join(f"[{p}]" if isinstance(p, int) else _step(p) for p in path)
 
 
 def text_of(value) -> str:
@@ -28,7 +39,7 @@ def path_equals(col: Column, path: str | list, value) -> Column:
 
 def _contains(v: Column, value) -> Column:
     if isinstance(value, dict):
-        parts = [_contains(F.try_variant_get(v, f"$['{k}']", "variant"), x) for k, x in value.items()]
+        parts = [_contains(F.try_variant_get(v, path_of([k]), "variant"), x) for k, x in value.items()]
         return reduce(and_, parts, F.schema_of_variant(v).startswith("OBJECT"))
     if isinstance(value, list):
         items = F.try_variant_get(v, "$", "array<variant>")

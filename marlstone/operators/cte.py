@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.errors import InvalidQuery
+from ..plans.runtime import with_tables
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,4 @@ class With:
         return f"WITH {'RECURSIVE ' if self.recursive else ''}{parts} {body}" if parts else body
 
     def query(self, body: str, spark: SparkSession, tables: dict[str, DataFrame] | None = None, **args) -> DataFrame:
-        for name, df in (tables or {}).items():
-            df.createOrReplaceTempView(name)
-        return spark.sql(self.text(body), args=args or None)
+        return with_tables(spark, self.text(body), tables, args or None)

@@ -47,12 +47,12 @@ def where_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> Dat
 def where_not_in(df: DataFrame, column: str, sub: DataFrame, sub_column: str) -> DataFrame:
     """column NOT IN (subquery), null-aware: any NULL in the subquery, or a NULL column against a non-empty one, keeps nothing.
 
-    As an anti join on the key with the two NULL cases decided by scalar subqueries, so it stays an equi join.
+    As an anti join on the key with the two NULL cases decided by one scalar subquery, so it stays an equi join.
     """
     keys = sub.select(F.col(sub_column).alias("_in"))
-    n, known = keys.agg(F.count(F.lit(1)).alias("n")).scalar(), keys.agg(F.count("_in").alias("n")).scalar()
+    counts = keys.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count("_in").alias("known")).alias("c")).scalar()
     kept = df.join(keys, F.col(column) == F.col("_in"), "left_anti")
-    return kept.where((n == known) & (F.col(column).isNotNull() | (n == 0)))
+    return kept.where((counts["n"] == counts["known"]) & (F.col(column).isNotNull() | (counts["n"] == 0)))
 
 
 def where_exists(df: DataFrame, sub: DataFrame, condition: Column | None = None) -> DataFrame:

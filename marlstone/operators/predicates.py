@@ -6,6 +6,7 @@ Array, JSON and full-text predicates are never NULL.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -116,10 +117,14 @@ def _null(col: Column, c: Cond) -> Column:
 
 
 def _search(col: Column, c: Cond) -> Column:
-    """Every word of the value is a whole word of the text; no stemming and no stop words."""
-    have = F.split(F.lower(col), r"[^\p{L}\p{N}]+")
-    words = [w for w in c.value.lower().split() if w]
-    return F.coalesce(reduce(and_, [F.array_contains(have, w) for w in words], F.lit(True)), F.lit(False))
+    """Every word of the value is a whole word of the text; no stemming and no stop words.
+
+    Words of both are runs of letters and digits. A plain substring test goes before the pattern.
+    """
+    text = F.lower(col)
+    words = dict.fromkeys(re.findall(r"[^\W_]+", c.value.lower()))
+    found = [F.contains(text, F.lit(w)) for w in words] + [F.regexp_like(text, F.lit(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])")) for w in words]
+    return F.coalesce(reduce(and_, found, F.lit(True)), F.lit(False))
 
 
 def _known(col: Column) -> Column:
@@ -146,7 +151,7 @@ OPERATORS: dict[str, Callable[[Column, Cond], Column]] = {
     "json_has_key": lambda x, c: J.has_key(x, c.value, c.path or "$"),
     "is_empty": lambda x, c: (F.coalesce(F.size(x), F.lit(0)) == 0) == F.lit(bool(c.value)),
     "has": lambda x, c: _known(F.array_contains(x, F.lit(c.value))),
-    "has_every": lambda x, c: _known(F.size(F.array_except(F.array(*map(F.lit, c.value)), x)) == 0) if c.value else x.isNotNull(),
+    "has_every": lambda x, c: _known(F.size(F.array_except(F.array(*map(F.lit, c.value)), x)) == 0) if c.value else F.lit(True),
     "has_some": lambda x, c: _known(F.arrays_overlap(x, F.array(*map(F.lit, c.value)))) if c.value else F.lit(False),
     "search": _search,
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.errors import InvalidQuery, NotFound
 from ..plans.schema import Catalog
 from . import aggregates, joins, relations, windows
-from .predicates import Cond, Predicate, all_of, field, keeps
+from .predicates import Cond, Predicate, Raw, all_of, field, keeps
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class Query:
     offset: int = 0
     includes: tuple[relations.Include, ...] = ()
     steps: tuple[Callable[[DataFrame, Catalog], DataFrame], ...] = ()
+    beyond: tuple[tuple[str, object], ...] = ()
 
     def select(self, *columns: str | Column) -> Query:
         return replace(self, columns=columns)
@@ -106,10 +109,38 @@ class Query:
         return replace(self, offset=n)
 
     def cursor(self, name: str, value) -> Query:
-        """Rows beyond the value in the direction that the query orders the field; exclusive."""
+        """Rows beyond the value in the direction that the query orders the field; exclusive.
+
+        Rows that tie with the value are skipped: a page ordered by a field that isn't unique is continued by after.
+        """
         way = next((k[1] for k in self.order if not isinstance(k, str) and k[0] == name), "asc")
         return self.where(Cond(name, "lt" if way.lower() == "desc" else "gt", value))
 
+    def after(self, **row) -> Query:
+        """Rows beyond a given one: the values, NULL included, of all fields that the query orders by and of the model's key.
+
+        The key ends the order, so no row that ties with the given one is skipped or comes twice.
+        """
+        return replace(self, beyond=tuple(row.items()))
+
+    def _continued(self, catalog: Catalog) -> Query:
+        """The query with what after says as a condition, and the key at the end of its order."""
+        ways = [(k, "asc") if isinstance(k, str) else k for k in self.order]
+        ways += [(k, "asc") for k in catalog.key(self.model) if k not in {w[0] for w in ways}]
+        values = dict(self.beyond)
+        if missing := [k for k, _ in ways if k not in values]:
+            raise InvalidQuery(f"after needs {', '.join(missing)}")
+        cases, same = [], F.lit(True)
+        for name, way in ways:
+            col, value = F.col(name), values[name]
+            if way.lower() == "desc":  # NULLs come first
+                further = col.isNotNull() if value is None else col < F.lit(value)
+            else:
+                further = F.lit(False) if value is None else col.isNull() | (col > F.lit(value))
+            cases.append(same & further)
+            same = same & col.eqNullSafe(F.lit(value))
+        return replace(self.where(Raw(reduce(or_, cases))), order=tuple(ways), beyond=())
+
     def include(self, relation: str, where: Predicate | None = None, order: tuple = (), take: int | None = None, select: tuple[str, ...] = (), include: tuple = ()) -> Query:
         return replace(self, includes=(*self.includes, relations.Include(relation, where, order, take, select, include)))
 
@@ -117,6 +148,8 @@ class Query:
         return replace(self, steps=(*self.steps, f))
 
     def to_df(self, catalog: Catalog) -> DataFrame:
+        if self.beyond:
+            return self._continued(catalog).to_df(catalog)
         df = catalog.table(self.model)
         if self.alias:
             df = df.alias(self.alias)
@@ -142,18 +175,22 @@ class Query:
         if self.unique:
             df = (df.select(*self.columns) if self.columns else df).distinct()
         paged = self.limit is not None or self.offset
-        if self.order:
-            df = df.orderBy(*windows.ordering(list(self.order)))
+        order = windows.ordering(list(self.order))
+        if order and (paged or not self.includes):
+            df = df.orderBy(*order)
         if self.offset:
             df = df.offset(self.offset)
         if self.limit is not None:
             df = df.limit(self.limit)
-        for i in self.includes:  # parents are paged before children are attached
-            df = relations.include(catalog, df, self.model, i)
+        # parents are paged before children are attached; a page that its order decides is small, and children are cut to it
+        fixed = self.limit is not None and {*catalog.key(self.model)} <= {k if isinstance(k, str) else k[0] for k in self.order}
+        page = df if fixed and self.includes else None
+        for i in self.includes:
+            df = relations.include(catalog, df, self.model, i, page)
+        if order and self.includes:  # the joins of the children lose the order
+            df = df.orderBy(*order)
         if self.columns and not self.unique:
             df = df.select(*self.columns, *[i.relation for i in self.includes])
-        if self.includes and self.order and paged:
-            df = df.orderBy(*windows.ordering([k for k in self.order if (k if isinstance(k, str) else k[0]) in df.columns]))
         return df
 
     # actions
@@ -164,7 +201,12 @@ class Query:
     def find_first(self, catalog: Catalog) -> dict | None:
         return next(iter(self.take(1).find_many(catalog)), None)
 
-    find_unique = find_first
+    def find_unique(self, catalog: Catalog) -> dict | None:
+        """The only row; raises if there is another."""
+        rows = self.take(2).find_many(catalog)
+        if len(rows) > 1:
+            raise InvalidQuery(f"more than one {self.model} matches")
+        return rows[0] if rows else None
 
     def find_first_or_raise(self, catalog: Catalog) -> dict:
         row = self.find_first(catalog)
@@ -172,7 +214,11 @@ class Query:
             raise NotFound(f"no {self.model} matches")
         return row
 
-    find_unique_or_raise = find_first_or_raise
+    def find_unique_or_raise(self, catalog: Catalog) -> dict:
+        row = self.find_unique(catalog)
+        if row is None:
+            raise NotFound(f"no {self.model} matches")
+        return row
 
     def count(self, catalog: Catalog) -> int:
         return self.to_df(catalog).count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.schema import Catalog, Relation
@@ -32,13 +32,17 @@ def children(catalog: Catalog, r: Relation, where: Predicate | None = None) -> D
     return df.join(pairs, F.col(r.to_key) == F.col("_child")).drop("_child")
 
 
-def include(catalog: Catalog, df: DataFrame, model: str, i: Include) -> DataFrame:
+def include(catalog: Catalog, df: DataFrame, model: str, i: Include, page: DataFrame | None = None) -> DataFrame:
     """Adds the relation as a column: an array of structs, sorted, empty if there are none; or a struct or NULL for a single one.
 
-    Children are filtered, ranked and collected before the join, so the parent's rows are never multiplied.
+    Children are filtered, ranked and collected before the join, so the parent's rows are never multiplied. page: rows of
+    which the parents are all, by which the children are cut down first. A parent's children lie in one row, so a
+    parent with very many of them should be given take.
     """
     r = catalog.relation(model, i.relation)
     kids = children(catalog, r, i.where)
+    if page is not None:
+        kids = kids.join(page.select(F.col(r.from_key).alias("_wanted")).distinct(), F.col("_parent") == F.col("_wanted"), "left_semi")
     for deeper in i.include:
         kids = include(catalog, kids, r.to_model, deeper)
     order = windows.ordering([*i.order, *catalog.key(r.to_model)])
@@ -52,13 +56,25 @@ def include(catalog: Catalog, df: DataFrame, model: str, i: Include) -> DataFram
     if single:
         one = kids.select(F.col("_parent").alias("_of"), row.alias("_row"))
         return df.join(one, F.col(r.from_key) == F.col("_of"), "left").withColumn(i.relation, F.col("_row")).drop("_of", "_row")
-    rank = F.row_number().over(Window.partitionBy("_parent").orderBy(*order)).alias("_n")
-    ranked = kids.select("_parent", rank, row.alias("_row"))
-    lists = ranked.groupBy(F.col("_parent").alias("_of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_row")), lambda a, b: a["_n"] - b["_n"]), lambda x: x["_row"]).alias("_rows"))
+    place = _place(kids, [*i.order, *catalog.key(r.to_model)], i.take)
+    ranked = kids.select("_parent", place.alias("_n"), row.alias("_row"))
+    collected = F.collect_list(F.struct("_n", "_row"))
+    plain = not any(x in ranked.schema["_row"].dataType.simpleString() for x in ("map<", "variant"))  # what has an order
+    sorted_rows = F.sort_array(collected) if plain else F.array_sort(collected, lambda a, b: F.when(a["_n"] < b["_n"], -1).when(a["_n"] > b["_n"], 1).otherwise(0))
+    lists = ranked.groupBy(F.col("_parent").alias("_of")).agg(F.transform(sorted_rows, lambda x: x["_row"]).alias("_rows"))
     joined = df.join(lists, F.col(r.from_key) == F.col("_of"), "left")
     return joined.withColumn(i.relation, F.coalesce("_rows", F.array().cast(lists.schema["_rows"].dataType))).drop("_of", "_rows")
 
 
+def _place(kids: DataFrame, keys: list, take: int | None) -> Column:
+    """What a parent's children are sorted by: the keys themselves where all ascend, NULLs last; else a rank."""
+    names = [k if isinstance(k, str) else k[0] for k in keys]
+    rising = all(isinstance(k, str) or k[1].lower() == "asc" for k in keys)
+    if rising and take is None and all(n in kids.columns for n in names):
+        return F.struct(*[c for k, n in enumerate(names) for c in (F.col(n).isNull().alias(f"null{k}"), F.col(n).alias(f"key{k}"))])
+    return F.row_number().over(Window.partitionBy("_parent").orderBy(*windows.ordering(keys)))
+
+
 def flat(catalog: Catalog, df: DataFrame, model: str, relation: str, select: tuple[str, ...] = ()) -> DataFrame:
     """One row per pair, the related columns prefixed with the relation's name; parents without any stay."""
     r = catalog.relation(model, relation)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.errors import InvalidQuery
 
@@ -56,6 +58,10 @@ class Over:
             raise InvalidQuery(f"no such exclusion: {what}")
         return replace(self, exclude=what)
 
+    def bounds(self) -> tuple[str, int, int]:
+        """The frame; without one, all peers and rows before them, or the whole partition if it has no order."""
+        return self.frame or (("range", UNBOUNDED_PRECEDING, CURRENT_ROW) if self.order else ("rows", UNBOUNDED_PRECEDING, UNBOUNDED_FOLLOWING))
+
     def spec(self):
         w = Window.partitionBy(*self.partition)
         if self.order:
@@ -75,7 +81,9 @@ class WindowFn:
     offset: int = 1
     default: object = None
 
-    def column(self) -> Column:
+    def column(self, types: dict[str, T.DataType] | None = None) -> Column:
+        """The function over its window. With an exclusion other than a row frame's current row, the rows need _rank and _row,
+        which with_windows gives them."""
         w = self.over.spec()
         x = F.col(self.field) if self.field else F.lit(1)
         if self.fn in ("row_number", "rank", "dense_rank"):
@@ -88,45 +96,80 @@ class WindowFn:
             raise InvalidQuery(f"no such window function: {self.fn}")
         if self.over.exclude == "no others":
             return getattr(F, self.fn)(x).over(w)
-        if self.over.exclude == "current row" and self.over.frame and self.over.frame[0] == "rows":
-            return self._beside(x)
-        return self._filtered(x)
-
-    def _beside(self, x: Column) -> Column:
-        """The rows of the frame before and after the current one."""
-        _, a, b = self.over.frame
-        spans = [(a, min(b, -1))] * (a < 0) + [(max(a, 1), b)] * (b > 0)
-        part = lambda fn: [getattr(F, fn)(x).over(self.over.rows(*s).spec()) for s in spans]
-        n = reduce(lambda p, q: p + q, part("count"), F.lit(0).cast("bigint"))
-        if self.fn == "count":
-            return n
-        if not spans:
-            return F.lit(None).cast("double")
-        if self.fn in ("min", "max"):
-            return part(self.fn)[0] if len(spans) == 1 else (F.least if self.fn == "min" else F.greatest)(*part(self.fn))
-        both = reduce(lambda p, q: p + q, [F.coalesce(s, F.lit(0)) for s in part("sum")])
-        return F.when(n > 0, both if self.fn == "sum" else both / n)
-
-    def _filtered(self, x: Column) -> Column:
-        """The frame as an array without the excluded peers; the frame should be short."""
-        key = F.struct(*[F.col(k if isinstance(k, str) else k[0]).alias(f"k{i}") for i, k in enumerate(self.over.order)]) if self.over.order else F.struct(F.lit(1).alias("k0"))
-        rows = F.collect_list(F.struct(key.alias("key"), x.alias("v"))).over(self.over.spec())
-        kept = F.transform(F.filter(rows, lambda r: ~r["key"].eqNullSafe(key)), lambda r: r["v"])
-        if self.over.exclude in ("ties", "current row"):
-            if self.over.exclude == "current row":
-                peers = F.transform(F.filter(rows, lambda r: r["key"].eqNullSafe(key)), lambda r: r["v"])
-                at = F.array_position(peers, x)
-                kept = F.concat(kept, F.when(at > 0, F.filter(peers, lambda v, i: i + 1 != at)).otherwise(peers))
-            else:
-                kept = F.concat(kept, F.array(x))
-        known = F.filter(kept, lambda v: v.isNotNull())
-        n = F.size(known)
+        return self._combined(self._parts(x, types or {}))
+
+    def needs_ranks(self) -> bool:
+        return self.over.exclude != "no others" and not (self.over.exclude == "current row" and self.over.bounds()[0] == "rows")
+
+    def _parts(self, x: Column, types: dict[str, T.DataType]) -> list[Part]:
+        """The frame without what is excluded, as disjoint parts.
+
+        Rows before and after the current one's peers lie in a range of ranks where the frame is open to that side, and in a
+        window of at most as many rows as the frame says where it isn't; so only that many rows are ever held.
+        """
+        kind, a, b = self.over.bounds()
+        what = self.over.exclude
+        beside = lambda lo, hi: _span(x, self.over.rows(lo, hi).spec())
+        ranks = Window.partitionBy(*self.over.partition).orderBy("_rank")
+        if kind == "rows" and what == "current row":
+            return [beside(a, min(b, -1))] * (a < 0) + [beside(max(a, 1), b)] * (b > 0)
+        if kind == "rows" and (a > 0 or b < 0):
+            return [self._held(x, a, b)]
+        parts = []
+        if kind == "rows":
+            if a < 0:
+                parts.append(_span(x, ranks.rangeBetween(UNBOUNDED_PRECEDING, -1)) if a == UNBOUNDED_PRECEDING else self._held(x, a, -1))
+            if b > 0:
+                parts.append(_span(x, ranks.rangeBetween(1, UNBOUNDED_FOLLOWING)) if b == UNBOUNDED_FOLLOWING else self._held(x, 1, b))
+        else:
+            whole = all(isinstance(types.get(k if isinstance(k, str) else k[0]), T.IntegralType) for k in self.over.order) and len(self.over.order) == 1
+            free = (UNBOUNDED_PRECEDING, CURRENT_ROW, UNBOUNDED_FOLLOWING)
+            if not (a in free and b in free) and not whole or a > 0 or b < 0:
+                return [self._held(x, a, b)]
+            if a < 0:
+                parts.append(_span(x, ranks.rangeBetween(a, -1) if a == UNBOUNDED_PRECEDING else self.over.range(a, -1).spec()))
+            if b > 0:
+                parts.append(_span(x, ranks.rangeBetween(1, b) if b == UNBOUNDED_FOLLOWING else self.over.range(1, b).spec()))
+        if what == "ties":
+            parts.append(lambda fn: F.when(x.isNotNull(), 1).otherwise(0).cast("bigint") if fn == "count" else x)
+        elif what == "current row":
+            peers = Window.partitionBy(*self.over.partition, "_rank").orderBy("_row")
+            parts += [_span(x, peers.rowsBetween(UNBOUNDED_PRECEDING, -1)), _span(x, peers.rowsBetween(1, UNBOUNDED_FOLLOWING))]
+        return parts
+
+    def _held(self, x: Column, a: int, b: int) -> Part:
+        """A short frame as an array, without the current row's peers; the current row and its peers stay as far as the exclusion says."""
+        over = replace(self.over, frame=(self.over.bounds()[0], a, b))
+        rows = F.collect_list(F.struct(F.col("_rank").alias("rank"), F.col("_row").alias("row"), x.alias("v"))).over(over.spec())
+        stays = {
+            "group": lambda r: r["rank"] != F.col("_rank"),
+            "ties": lambda r: (r["rank"] != F.col("_rank")) | (r["row"] == F.col("_row")),
+            "current row": lambda r: r["row"] != F.col("_row"),
+        }[self.over.exclude]
+        known = F.filter(F.transform(F.filter(rows, stays), lambda r: r["v"]), lambda v: v.isNotNull())
+        return lambda fn: {
+            "count": lambda: F.size(known).cast("bigint"), "min": lambda: F.array_min(known), "max": lambda: F.array_max(known),
+            "sum": lambda: F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v.cast("double"))),
+        }[fn]()
+
+    def _combined(self, parts: list[Part]) -> Column:
+        add = lambda fn: reduce(lambda p, q: p + q, [F.coalesce(p(fn), F.lit(0)) for p in parts])
+        if not parts:
+            return F.lit(0).cast("bigint") if self.fn == "count" else F.lit(None).cast("double")
         if self.fn == "count":
-            return n.cast("bigint")
+            return add("count")
         if self.fn in ("min", "max"):
-            return F.array_min(known) if self.fn == "min" else F.array_max(known)
-        s = F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-        return F.when(n > 0, s if self.fn == "sum" else s / n)
+            return parts[0](self.fn) if len(parts) == 1 else (F.least if self.fn == "min" else F.greatest)(*[p(self.fn) for p in parts])
+        n = add("count")
+        return F.when(n > 0, add("sum") if self.fn == "sum" else add("sum") / n)
+
+
+#: An aggregate (count, sum, min or max) of part of a frame.
+Part = Callable[[str], Column]
+
+
+def _span(x: Column, spec) -> Part:
+    return lambda fn: getattr(F, fn)(x).over(spec)
 
 
 def over(*partition: str) -> Over:
@@ -138,4 +181,19 @@ def window_fn(fn: str, alias: str, w: Over, field: str | None = None, offset: in
 
 
 def with_windows(df: DataFrame, *fns: WindowFn) -> DataFrame:
-    return df.withColumns({f.alias: f.column() for f in fns})
+    """df with each function's column. A frame exclusion gets ranks of peers first; functions of one partition and order share them."""
+    types = {f.name: f.dataType for f in df.schema}
+    plain = [f for f in fns if not f.needs_ranks()]
+    out = df.withColumns({f.alias: f.column(types) for f in plain}) if plain else df
+    groups: dict[tuple, list[WindowFn]] = {}
+    for f in fns:
+        if f.needs_ranks():
+            groups.setdefault((f.over.partition, f.over.order), []).append(f)
+    for (partition, order), some in groups.items():
+        w = Window.partitionBy(*partition)
+        rank = F.dense_rank().over(w.orderBy(*ordering(list(order)))) if order else F.lit(1)
+        ranked = out.withColumns({"_row": F.monotonically_increasing_id(), "_rank": rank})
+        out = ranked.withColumns({f.alias: f.column(types) for f in some}).drop("_row", "_rank")
+    added = [f.alias for f in fns if f.alias not in df.columns]
+    kept = [c for c in out.columns if c not in added]
+    return out if out.columns == [*kept, *added] else out.select(*[F.col(f"`{c}`") for c in (*kept, *added)])

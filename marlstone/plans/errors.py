@@ -29,6 +29,12 @@ class ForeignKeyViolation(QueryError):
     code = "P2003"
 
 
+class TransactionConflict(QueryError):
+    """Another writer published a version first."""
+
+    code = "P2034"
+
+
 def classify(error: BaseException) -> str:
     """A stable code for any error."""
     if isinstance(error, QueryError):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import threading
 import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -66,11 +67,34 @@ class Runtime:
                 h(event)
 
     def batch(self, frames: list[DataFrame], parallel: int = 1) -> list[list]:
-        """The rows of several queries; with parallel, as jobs side by side. The first error ends the batch."""
+        """The rows of several queries; with parallel, as jobs side by side. The first error ends the batch: queries that wait
+        aren't started and those that run are cancelled."""
         if parallel <= 1:
             return [self.run("query", df.collect) for df in frames]
+        tag, context, failed = uuid.uuid4().hex, self.spark.sparkContext, threading.Event()
+
+        def one(df: DataFrame) -> list:
+            if failed.is_set():
+                raise InvalidQuery("the batch has ended")
+            context.setJobGroup(tag, "batch", interruptOnCancel=True)
+            try:
+                return self.run("query", df.collect)
+            except BaseException:
+                failed.set()
+                context.cancelJobGroup(tag)
+                raise
+            finally:
+                context.setLocalProperty("spark.jobGroup.id", None)
+
         with ThreadPoolExecutor(parallel) as pool:
-            return list(pool.map(lambda df: self.run("query", df.collect), frames))
+            jobs = [pool.submit(one, df) for df in frames]
+            wait(jobs, return_when=FIRST_EXCEPTION)
+            broken = [e for j in jobs if j.done() and (e := j.exception())]
+            for j in jobs:
+                j.cancel()
+            if broken:
+                raise next((e for e in broken if not isinstance(e, InvalidQuery)), broken[0])
+            return [j.result() for j in jobs]
 
     def collect(self, df: DataFrame, seconds: float | None = None) -> list:
         """Rows; a query that runs longer is cancelled."""
@@ -108,8 +132,8 @@ def timing(log: list[tuple[str, float]]) -> Middleware:
     return run
 
 
-def retrying(times: int = 3, first: float = 0.1, most: float = 5.0, codes: tuple[str, ...] = ("P1001", "P1008", "P1017")) -> Middleware:
-    """Spark retries tasks itself; this is for actions that meet a failing outside system."""
+def retrying(times: int = 3, first: float = 0.1, most: float = 5.0, codes: tuple[str, ...] = ("P1001", "P1008", "P1017"), jitter: float = 0.1) -> Middleware:
+    """Spark retries tasks itself; this is for actions that meet a failing outside system. Waits double and vary by the share jitter."""
 
     def run(event: Event, call):
         for k in range(times):
@@ -118,7 +142,7 @@ def retrying(times: int = 3, first: float = 0.1, most: float = 5.0, codes: tuple
             except Exception as e:
                 if k + 1 == times or classify(e) not in codes:
                     raise
-                time.sleep(min(most, first * 2**k))
+                time.sleep(min(most, first * 2**k) * (1 + random.uniform(-jitter, jitter)))
 
     return run
 
@@ -161,18 +185,55 @@ class ResultCache:
             self._drop(k)
 
 
-_DOLLAR = re.compile(r"\$(\d+)")
+#: Quoted text, quoted names and comments, which are left as they are; or a numbered argument.
+_PART = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\$(\d+)""", re.S)
+_WITH = re.compile(r"\s*WITH\s+(RECURSIVE\s+)?", re.I)
+
+
+def with_tables(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None, args=None) -> DataFrame:
+    """Runs a query that reads the tables by their names, which no other query sees and which hide the session's own."""
+    if not tables:
+        return spark.sql(sql, args=args)
+    views = {name: f"_marlstone_{uuid.uuid4().hex}" for name in tables}
+    m = _WITH.match(sql)
+    rest = f", {sql[m.end():]}" if m else f" {sql}"
+    named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(views[name])
+        return spark.sql(f"WITH {'RECURSIVE ' if m and m[1] else ''}{named}{rest}", args=args)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def raw_query(spark: SparkSession, sql: str, *args, tables: dict[str, DataFrame] | None = None, **named) -> DataFrame:
-    """SQL with ?, $n or :name arguments, bound and never pasted in. Text in quotes must not hold $n."""
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
+    """SQL with ?, $n or :name arguments, bound and never pasted in. Text in quotes and comments is left alone."""
     if args and named:
         raise InvalidQuery("positional and named arguments don't mix")
-    numbers = [int(n) for n in _DOLLAR.findall(sql)]
-    if numbers:
-        if max(numbers) > len(args):
-            raise InvalidQuery(f"${max(numbers)} has no argument")
-        return spark.sql(_DOLLAR.sub("?", sql), args=[args[n - 1] for n in numbers])
-    return spark.sql(sql, args=list(args) if args else named or None)
+    numbers: list[int] = []
+
+    def place(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        numbers.append(int(m[1]))
+        return "?"
+
+    text = _PART.sub(place, sql)
+    if numbers and not 1 <= min(numbers) <= max(numbers) <= len(args):
+        raise InvalidQuery(f"${max(numbers)} has no argument")
+    given = [args[n - 1] for n in numbers] if numbers else list(args) if args else named or None
+    return with_tables(spark, text, tables, given)
+
+
+def raw_exec(spark: SparkSession, sql: str, *args, **named) -> int:
+    """Runs a statement and returns how many rows it says it changed; 0 where the table's format doesn't tell."""
+    rows = raw_query(spark, sql, *args, **named).collect()
+    return int(rows[0]["num_affected_rows"]) if rows and "num_affected_rows" in rows[0] else 0
+
+
+def raw_into(spark: SparkSession, cls: type, sql: str, *args, tables: dict[str, DataFrame] | None = None, **named) -> list:
+    """The rows of a raw query as dataclass instances."""
+    from ..sources.tables import to_objects
+
+    return to_objects(raw_query(spark, sql, *args, tables=tables, **named), cls)

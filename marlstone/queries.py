@@ -15,8 +15,10 @@ from .operators.aggregates import avg, count, group_by, largest, least, scalar_o
 from .operators.cte import With
 from .operators.predicates import Raw, all_of, any_of, field, keeps, not_, not_all
 from .operators.query import Query
+from .plans.errors import InvalidQuery
 from .plans.runtime import raw_query
-from .plans.schema import Catalog
+from .plans.schema import Catalog, Relation
+from .plans.transactions import Transaction
 from .sources.tables import load_fixture, sf_catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,7 +99,8 @@ plain("filter_not_null", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN
 
 plain("json_path", "SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '69'", lambda: Query("events").where(field("props").json_path("$.k", 69)).select("event_id", "props"))
 plain("json_has_key", "SELECT event_id, props FROM events WHERE list_contains(json_keys(props), 'k')", lambda: Query("events").where(field("props").json_has_key("k")).select("event_id", "props"))
-plain("json_has_no_key", "SELECT event_id, props FROM events WHERE NOT list_contains(json_keys(props), 'z') AND event_id % 7 = 0", lambda: Query("events").where(not_(field("props").json_has_key("z")), Raw(F.col("event_id") % 7 == 0)).select("event_id", "props"))
+plain("json_has_no_key", "SELECT event_id, props FROM events WHERE NOT list_contains(json_keys(props), 'z')", lambda: Query("events").where(not_(field("props").json_has_key("z"))).select("event_id", "props"))
+plain("json_not_contains", "SELECT event_id, props FROM events WHERE NOT json_contains(props, '{\"k\": 42}')", lambda: Query("events").where(not_(field("props").json_contains({"k": 42}))).select("event_id", "props"))
 plain("json_contains", "SELECT event_id, props FROM events WHERE json_contains(props, '{\"k\": 42}')", lambda: Query("events").where(field("props").json_contains({"k": 42})).select("event_id", "props"))
 
 
@@ -127,6 +130,7 @@ for _name, _pred, _sql in (
     )
 
 plain("fulltext_search", r"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'was'])", lambda: Query("documents").where(field("text").search("The was")).select("doc_id"))
+plain("fulltext_hyphen", r"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the', 'was'])", lambda: Query("documents").where(field("text").search("The-was")).select("doc_id"))
 
 # projection and distinct
 
@@ -206,6 +210,9 @@ def _listed(column: str, key: str):
     return F.array_join(F.transform(column, lambda x: x[key].cast("string")), ",").alias(column)
 
 
+query("include_ordered", "SELECT c_custkey, c_acctbal, (SELECT coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey), '') FROM (SELECT * FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)) AS orders FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40", "customer", "orders")(
+    lambda c, s: Query("customer").include("orders", order=(("o_totalprice", "desc"),), take=2).order_by(("c_acctbal", "desc"), "c_custkey").take(40).to_df(c).select("c_custkey", "c_acctbal", _listed("orders", "o_orderkey"))
+)
 query("include_one_to_many", "SELECT n_name, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name", "nation", "supplier")(
     lambda c, s: Query("nation").include("supplier").to_df(c).select("n_name", _listed("supplier", "s_suppkey"))
 )
@@ -285,17 +292,28 @@ for _what in ("group", "ties"):
     query(f"win_exclude_{_what}", f"SELECT n_nationkey, count(n_nationkey) OVER w AS n, max(n_nationkey) OVER w AS hi FROM (SELECT *, n_nationkey % 2 AS first FROM nation) WINDOW w AS (PARTITION BY n_regionkey ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {_what.upper()})", "nation")(
         lambda c, s, w=_ord: W.with_windows(c.table("nation").withColumn("first", F.col("n_nationkey") % 2), W.window_fn("count", "n", w, "n_nationkey"), W.window_fn("max", "hi", w, "n_nationkey")).select("n_nationkey", "n", "hi")
     )
+_PEERS = W.over("o_custkey").order_by("o_orderstatus")
+for _what, _frame in (("group", (W.UNBOUNDED_PRECEDING, 0)), ("ties", (W.UNBOUNDED_PRECEDING, W.UNBOUNDED_FOLLOWING)), ("current row", (0, W.UNBOUNDED_FOLLOWING))):
+    _named = f"win_exclude_range_{_what.replace(' ', '_')}"
+    _sql = f"OVER (PARTITION BY o_custkey ORDER BY o_orderstatus RANGE BETWEEN {'UNBOUNDED PRECEDING' if _frame[0] else 'CURRENT ROW'} AND {'UNBOUNDED FOLLOWING' if _frame[1] else 'CURRENT ROW'} EXCLUDE {_what.upper()})"
+    windowed(_named, f"CAST(sum(o_orderkey) {_sql} AS BIGINT) AS s, count(o_orderkey) {_sql} AS n, min(o_totalprice) {_sql} AS lo", *[W.window_fn(f, a, _PEERS.range(*_frame).excluding(_what), x) for f, a, x in (("sum", "s", "o_orderkey"), ("count", "n", "o_orderkey"), ("min", "lo", "o_totalprice"))])
 plain("win_join_where_top", "SELECT c_name, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
       lambda: Query("customer").join("orders", N.on("c_custkey", "=", "o_custkey"), "inner").where(o_orderstatus="F").window(W.window_fn("row_number", "n", W.over("c_custkey").order_by(("o_totalprice", "desc"), "o_orderkey"))).order_by(("o_totalprice", "desc"), "o_orderkey").take(50).select("c_name", "o_orderkey", "n"), "customer", "orders")
 
 # order and paging
 
+
 plain("order_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 40", lambda: Query("orders").order_by("o_totalprice", "o_orderkey").skip(40).take(20).select("o_orderkey", "o_totalprice"))
-plain("order_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id LIMIT 700", lambda: Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").order_by(("l.quality", "desc"), "d.doc_id").take(700).select("d.doc_id", "l.quality"), "documents", "labels")
+plain("order_nulls", "SELECT d.doc_id, l.quality, row_number() OVER (PARTITION BY d.source ORDER BY l.quality DESC NULLS FIRST, d.doc_id) AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+      lambda: Query("documents", alias="d").join("labels", N.on("d.doc_id", "=", "l.doc_id"), alias="l").window(W.window_fn("row_number", "place", W.over("d.source").order_by(("l.quality", "desc"), "d.doc_id"))).select("d.doc_id", "l.quality", "place"), "documents", "labels")
 plain("top_k", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10", lambda: Query("customer").order_by(("c_acctbal", "desc"), "c_custkey").take(10).select("c_custkey", "c_acctbal"))
 plain("limit_zero", "SELECT * FROM nation LIMIT 0", lambda: Query("nation").take(0))
 plain("cursor_page_asc", "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25", lambda: Query("orders").order_by(("o_orderkey", "asc")).cursor("o_orderkey", 500).take(25).select("o_orderkey"))
 plain("cursor_page_desc", "SELECT o_orderkey FROM orders WHERE o_orderkey < 500 ORDER BY o_orderkey DESC LIMIT 25", lambda: Query("orders").order_by(("o_orderkey", "desc")).cursor("o_orderkey", 500).take(25).select("o_orderkey"))
+plain("cursor_page_ties", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus > 'F' OR (o_orderstatus = 'F' AND o_orderkey > 500) ORDER BY o_orderstatus, o_orderkey LIMIT 25",
+      lambda: Query("orders").order_by("o_orderstatus").after(o_orderstatus="F", o_orderkey=500).take(25).select("o_orderkey", "o_orderstatus"))
+plain("cursor_page_ties_desc", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey < 12 OR (c_nationkey = 12 AND c_custkey > 40) ORDER BY c_nationkey DESC, c_custkey LIMIT 25",
+      lambda: Query("customer").order_by(("c_nationkey", "desc")).after(c_nationkey=12, c_custkey=40).take(25).select("c_custkey", "c_nationkey"))
 plain("find_first", "SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 1", lambda: Query("orders").where(o_orderstatus="P").order_by("o_orderkey").take(1))
 plain("find_unique", "SELECT * FROM customer WHERE c_custkey = 77", lambda: Query("customer").where(c_custkey=77).take(1))
 
@@ -347,11 +365,74 @@ query("connect_or_create", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey =
 query("delete_set_null", "SELECT n_nationkey, n_name, CASE WHEN n_regionkey <> 0 THEN n_regionkey END AS n_regionkey FROM nation", "region", "nation")(lambda c, s: _with_action(c, "SetNull")["nation"])
 query("delete_cascade", "SELECT * FROM nation WHERE n_regionkey <> 0", "region", "nation")(lambda c, s: _with_action(c, "Cascade")["nation"])
 
+_PS = "SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem"
+_M2M = ("part", "supplier", "lineitem", "nation")
+
+
+def _m2m(c: Catalog) -> Catalog:
+    """part and supplier linked by part_supplier, the distinct pairs of lineitem."""
+    pairs = c.table("lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    r = Relation("suppliers", "part", "p_partkey", "supplier", "s_suppkey", True, ("part_supplier", "p", "s"))
+    return Catalog(c.spark, {**c.tables, "part_supplier": pairs}, {**c.relations, ("part", "suppliers"): r}, c.keys)
+
+
+query("connect_m2m", f"SELECT * FROM ({_PS}) UNION SELECT 7, s_suppkey FROM supplier WHERE s_suppkey IN (1, 2)", *_M2M)(lambda c, s: M.connect(_m2m(c), "part", "suppliers", 7, field("s_suppkey").is_in([1, 2])).table)
+query("disconnect_m2m", f"SELECT * FROM ({_PS}) WHERE NOT (p = 1 AND s > 5)", *_M2M)(lambda c, s: M.disconnect(_m2m(c), "part", "suppliers", 1, field("s_suppkey").gt(5)).table)
+query("set_m2m", f"SELECT * FROM ({_PS}) WHERE p <> 1 UNION SELECT 1, s_suppkey FROM supplier WHERE s_suppkey IN (2, 3)", *_M2M)(lambda c, s: M.set_related(_m2m(c), "part", "suppliers", 1, field("s_suppkey").is_in([2, 3])).table)
+query("nested_delete_m2m", f"SELECT * FROM ({_PS}) WHERE s NOT IN (SELECT s FROM ({_PS}) WHERE p = 1)", *_M2M)(lambda c, s: M.nested_delete(_m2m(c), "part", "suppliers", 1).apply(_m2m(c)).table("part_supplier"))
+query("nested_delete_m2m_rows", f"SELECT * FROM supplier WHERE s_suppkey NOT IN (SELECT s FROM ({_PS}) WHERE p = 1)", *_M2M)(lambda c, s: M.nested_delete(_m2m(c), "part", "suppliers", 1).table)
+query("nested_update_m2m", f"SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT s FROM ({_PS}) WHERE p = 1) THEN 'of part 1' ELSE s_name END AS s_name FROM supplier", *_M2M)(
+    lambda c, s: M.nested_update(_m2m(c), "part", "suppliers", 1, None, {"s_name": "of part 1"}).table.select("s_suppkey", "s_name")
+)
+query("nested_create_m2m", f"SELECT s_suppkey, s_name, p FROM (SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT 900001, 'NEW') JOIN (SELECT * FROM ({_PS}) UNION ALL SELECT 1, 900001) ON s = s_suppkey WHERE p = 1", *_M2M)(
+    lambda c, s: R.flat(M.nested_create(_m2m(c), "part", "suppliers", 1, [{"s_suppkey": 900001, "s_name": "NEW"}]).apply(_m2m(c)), c.table("part").where("p_partkey = 1"), "part", "suppliers", ("s_suppkey", "s_name")).select(F.col("suppliers_s_suppkey").alias("s_suppkey"), F.col("suppliers_s_name").alias("s_name"), F.col("p_partkey").alias("p"))
+)
+query("create_with_nested", "SELECT * FROM nation WHERE n_nationkey NOT IN (3, 4) UNION ALL SELECT n_nationkey, n_name, 9 FROM nation WHERE n_nationkey IN (3, 4) UNION ALL SELECT 95, 'NEW', 9", "region", "nation")(
+    lambda c, s: M.create_with(c, "region", {"r_regionkey": 9, "r_name": "ATLANTIS"}, {"nation": {"create": {"n_nationkey": 95, "n_name": "NEW"}, "connect": field("n_nationkey").is_in([3, 4])}}).table("nation")
+)
+query("update_with_nested", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'Z' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE NOT (n_regionkey = 2 AND n_nationkey > 10)", "region", "nation")(
+    lambda c, s: M.update_with(c, "region", 2, {"r_name": "SECOND"}, {"nation": {"delete": field("n_nationkey").gt(10), "update": (None, {"n_name": "Z"})}}).table("nation")
+)
+_DEEP = ("region", "nation", "customer", "orders")
+_GONE = "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 0"
+query("delete_cascade_deep", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NULL OR o_custkey NOT IN ({_GONE})", *_DEEP)(lambda c, s: _with_action(c, "Cascade")["orders"].select("o_orderkey", "o_custkey"))
+query("delete_cascade_then_null", f"SELECT o_orderkey, CASE WHEN o_custkey NOT IN ({_GONE}) THEN o_custkey END AS o_custkey FROM orders", *_DEEP)(
+    lambda c, s: _with_action(c, "Cascade", orders="SetNull")["orders"].select("o_orderkey", "o_custkey")
+)
+query("update_cascade", "SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 0 THEN 40 ELSE n_regionkey END AS n_regionkey FROM nation", "region", "nation")(lambda c, s: M.referential_update(c, "region", field("r_regionkey").equals(0), {"r_regionkey": 40})["nation"])
+
+
+@query("delete_self_relation", "WITH RECURSIVE gone AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 1 UNION SELECT n_nationkey FROM nation JOIN gone ON n_nationkey // 2 = k AND n_nationkey > 1) SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT k FROM gone)", "nation")
+def _delete_self(c: Catalog, s: SparkSession) -> DataFrame:
+    """Nations in a tree by halved keys; the first goes with all below it."""
+    tree = c.table("nation").withColumn("above", F.when(F.col("n_nationkey") > 1, F.floor(F.col("n_nationkey") / 2).cast("int")))
+    up = Relation("above", "nation", "above", "nation", "n_nationkey", False, None, "Cascade")
+    linked = Catalog(c.spark, {"nation": tree}, {("nation", "above"): up}, c.keys)
+    return M.referential_delete(linked, "nation", field("n_nationkey").equals(1))["nation"].select("n_nationkey", "n_name")
+
+
+def _in_transaction(c: Catalog, fail: bool) -> DataFrame:
+    """Both tables after a block that changes both, and raises at the end or doesn't."""
+    t = Transaction(c)
+    try:
+        with t.nested():
+            t.apply(M.update(t.table("region"), field("r_regionkey").equals(1), {"r_name": "ONE"}), "region")
+            t.apply(M.update(t.table("nation"), field("n_regionkey").equals(1), {"n_name": "of ONE"}), "nation")
+            if fail:
+                raise InvalidQuery("undone")
+    except InvalidQuery:
+        pass
+    return t.table("nation").join(t.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+query("transaction_commit", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'of ONE' ELSE n_name END AS n_name, CASE WHEN r_regionkey = 1 THEN 'ONE' ELSE r_name END AS r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "region", "nation")(lambda c, s: _in_transaction(c, False))
+query("transaction_rollback", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "region", "nation")(lambda c, s: _in_transaction(c, True))
+
 
-def _with_action(c: Catalog, action: str) -> dict[str, DataFrame]:
+def _with_action(c: Catalog, action: str, **other: str) -> dict[str, DataFrame]:
     from dataclasses import replace
 
-    linked = Catalog(c.spark, c.tables, {k: replace(r, on_delete=action) for k, r in c.relations.items()}, c.keys)
+    linked = Catalog(c.spark, c.tables, {k: replace(r, on_delete=other.get(r.from_model, action)) for k, r in c.relations.items()}, c.keys)
     return M.referential_delete(linked, "region", field("r_regionkey").equals(0))
 
 

@@ -85,7 +85,7 @@ def test_arrays(spark):
     assert ids(df, field("t").has("y")) == [0]
     assert ids(df, not_(field("t").has("y"))) == [1, 2, 3]
     assert ids(df, field("t").has_every(["x", "y"])) == [0]
-    assert ids(df, field("t").has_every([])) == [0, 1, 3]
+    assert ids(df, field("t").has_every([])) == [0, 1, 2, 3]
     assert ids(df, field("t").has_some(["y", "z"])) == [0]
     assert ids(df, not_(field("t").has_some(["z"]))) == [0, 1, 2, 3]
 
