@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ CAPACITY = 2048
 END = 1
 #: Distinct chunks of text whose ids a worker remembers, at most.
 REMEMBERED = 200_000
-FIRST = "\0first:"
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?!\S)")
 
@@ -110,13 +110,41 @@ def byte_ranks(public) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in public.get_vocab(with_added_tokens=False).items() if i not in added}
 
 
+#: Letters that every Unicode table of the last decades knows alike; chunks with others are left to the tokenizer.
+SETTLED = "\u0370"
+
+
+def merge_core(public, path: str):
+    """A faster encoder over the same vocabulary, or None where the file doesn't prove that it gives the same ids.
+
+    The core joins the neighbours whose union has the least id; the tokenizer applies the first rule of its list that fits.
+    That is the same if ids ascend along the list and every token is what its own text is encoded to: a run of bytes is
+    encoded by itself as it is within a longer one until a rule crosses its border, so two neighbours whose union
+    is a token can only be the pair that the token's rule joins.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model, split = made["model"], made.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or made.get("normalizer") or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
+        return None
+    ids = model["vocab"]
+    joined = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(joined, joined[1:], strict=False)) or any(len(public.model.tokenize(t)) != 1 for t in ids):
+        return None
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(public), special_tokens={})
+
+
 class Tokenizer:
     """Ids of whole texts by a byte-level vocabulary file.
 
-    Chunks between blanks are encoded once and remembered; the vocabulary's split never joins them. A chunk that isn't
-    remembered goes through a merge core over the same vocabulary, which is several times as fast as the full
-    tokenizer; every worker first holds the core against the tokenizer on its own text and, should they differ, keeps
-    to the tokenizer.
+    Chunks between blanks are encoded once and remembered; the vocabulary's split never joins them. A chunk of settled
+    letters that isn't remembered goes through the merge core, which is several times as fast as the full tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -126,68 +154,60 @@ class Tokenizer:
         self.marks = [t.content for t in self.public.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
-        self.core = None
-        self.tried = False
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.public.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
-
-    def _try_core(self, chunks: list[str]) -> None:
-        import public_tokenizers
-        import tiktoken
+        self.core = merge_core(self.public, path)
 
-        self.tried = True
-        self.core = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(self.public), special_tokens={})
-        if [self._one(c) for c in chunks] != self._all(chunks):
-            self.core = None
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.public.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _all(self, chunks: list[str]) -> list[bytes]:
-        return self._whole([c.removeprefix(FIRST) if c.startswith(FIRST) else " " + c for c in chunks])
-
-    def _one(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            ids = self.core._core_bpe.encode_single_piece(b" " + chunk.encode())
-        else:
-            ids = self.core.encode_ordinary(chunk.removeprefix(FIRST) if chunk.startswith(FIRST) else " " + chunk)
-        return array("I", ids).tobytes()
+    def _one(self, chunk: str, blank: str = " ") -> bytes:
+        """Ids of a chunk after the blank that goes before it, which a text's first chunk has not."""
+        if self.core is None or not chunk.isascii() and max(chunk) >= SETTLED:
+            return self._whole(blank + chunk)
+        if blank and chunk.isalpha():
+            return array("I", self.core._core_bpe.encode_single_piece(b" " + chunk.encode())).tobytes()
+        return array("I", self.core.encode_ordinary(blank + chunk)).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         for i, t in enumerate(texts):
             if any(m in t for m in self.marks):
-                out[i] = np.frombuffer(self._whole([t])[0], np.uint32)
+                out[i] = np.frombuffer(self._whole(t), np.uint32)
                 continue
-            chunks = chunked(t)
-            if not self.tried and chunks:
-                self._try_core(chunks[:500])
+            first, *chunks = chunked(t)
             if len(self.known) > self.remembered:
                 self.known = {}
             known = self.known
             fresh = [*set(chunks).difference(known)]
-            known.update(zip(fresh, map(self._one, fresh) if self.core else self._all(fresh), strict=True))
-            out[i] = np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
+            known.update(zip(fresh, map(self._one, fresh), strict=True))
+            out[i] = np.frombuffer(b"".join([self._one(first, "") if first else b"", *map(known.__getitem__, chunks)]), np.uint32)
         return out
 
 
+@lru_cache(2)
+def tokenizer(path: str) -> Tokenizer:
+    """One tokenizer for all tasks of a worker."""
+    return Tokenizer(path)
+
+
 def chunked(text: str) -> list[str]:
     """The text cut before each blank that precedes a visible character: places where the byte-level split always cuts.
 
-    The blank that starts every chunk but the first is left out; a first chunk is marked by FIRST.
+    The blank that starts every chunk but the first is left out; the first chunk is what stands before all of them.
     """
-    if not text:
-        return []
-    out = text.split(" ") if not _RUN.search(text) else _CUT.split(text)
-    out[0] = FIRST + out[0]
-    return out
+    return text.split(" ") if not _RUN.search(text) else _CUT.split(text)
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, capacity: int, end: int, with_ids: bool) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens (and the ids)."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens (and the ids).
+
+    A null or empty text is its end mark alone; a very long one is read whole by one task; equal rows give equal rows each; an
+    empty table gives none; other columns aren't carried, whatever their names.
+    """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path)
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             at = 0
@@ -214,8 +234,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = True, group_rows: int = 2_000, most_groups: int = 1 << 17) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids unless with_ids is off.
 
-    A null or empty text is its end mark alone. Equal rows are packed as separate pieces; an empty table gives no rows;
-    other input columns aren't carried. The driver sees counts by length and, for lengths with more than group_rows
+    A null or empty text is its end mark alone; a very long text is cut into as many full windows as it fills. Equal rows are
+    packed as separate pieces; an empty table gives no rows; other input columns aren't carried, whatever their names. The driver sees counts by length and, for lengths with more than group_rows
     pieces, by salt: at most capacity + most_groups numbers.
     """
     spark = session(docs)
