@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, session, table, without
+from .common import session, table, without
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -80,13 +80,14 @@ def held_out(id_col: str = "doc_id", modulus: int = 4, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == fold
 
 
-def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, most_languages: int = 10_000) -> Profiles:
+def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> Profiles:
     """Counts every n-gram of all rows with a language, then takes each language's most frequent.
 
-    Only sums leave the executors' tasks and only size codes a language reach the driver. More than most_languages
-    distinct labels is taken as an error in the column.
+    Only sums leave the executors' tasks and only size codes a language reach the driver. A null text or language teaches
+    nothing; repeated rows count as often as they are there; an empty table gives no profiles; a very long text is read
+    whole; other columns don't matter, whatever their names.
     """
-    spark = session(docs)
+    session(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -116,11 +117,12 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = Scratch(spark, "language").write(counts, "counts")
-    names = [r.lang for r in counts.select("lang").distinct().limit(most_languages + 1).collect()]
-    if len(names) > most_languages:
-        raise ValueError(f"more than {most_languages} languages in {lang_col}")
-    return Profiles({name: [r.gram for r in counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).collect()] for name in names}, size)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = counts.withColumn("place", place).where(F.col("place") <= size)
+    of: dict[str, list[int]] = {}
+    for r in sorted(top.select("lang", "place", "gram").collect()):
+        of.setdefault(r.lang, []).append(r.gram)
+    return Profiles(of, size)
 
 
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
