@@ -257,8 +257,9 @@ def format_chats(df: DataFrame, turns: Turns = Turns(), template: Template = Tem
 
     Roles are taken without blanks around them and in any case, after ALIASES. Of equally cheap repairs the one with the smallest roles,
     turn by turn and in the automaton's order, is taken. Null or other roles are unknown. A null text is empty; its turn stays. Turns
-    with equal numbers are ordered by role (unknown first) and then by a hash of the text; null turn numbers come first; repeated
-    rows are turns of their own. Rows without conv_id form one conversation. Other columns aren't carried, as turns are merged."""
+    with equal numbers are ordered by role (unknown first) and then by the first 60 bits of the text's MD5; null turn numbers come
+    first; repeated rows are turns of their own. Rows without conv_id form one conversation. An empty table gives no rows. A very
+    long text is one turn in one task. Other columns aren't carried, as turns are merged; theirs may have any names."""
     spark, tables = session(df), repair_tables(turns)
     name = F.lower(F.trim(F.col(role_col).cast("string")))
     code = F.lit(0)
@@ -267,7 +268,7 @@ def format_chats(df: DataFrame, turns: Turns = Turns(), template: Template = Tem
     text = F.col(text_col).cast("string")
     scratch = Scratch(spark, "chat")
     rows = scratch.write(
-        df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(code, F.lit(0)).cast("int").alias("code"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + TURN_BYTES).cast("long").alias("size"), text.alias("text")),
+        df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(code, F.lit(0)).cast("int").alias("code"), F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long").alias("text_hash"), F.monotonically_increasing_id().alias("row_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + TURN_BYTES).cast("long").alias("size"), text.alias("text")),
         "turns",
     )
     order = ["conv_id", "turn", "code", "text_hash", "row_id"]
@@ -326,7 +327,7 @@ def op1_chat_formatting(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(turns: Turns, t: Template) -> str:
-    """The query as SQL: a recursive walk carries each role's least cost and path; ties between turn numbers go by role and text."""
+    """The query as SQL: a recursive walk carries each role's least cost and path; ties between turn numbers go by role and the text's MD5."""
     r = repair_tables(turns)
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     empty = lambda how: "".join(t.opening.format(role=r.names[q]) + t.closing for q in how)
@@ -342,7 +343,7 @@ def _sql(turns: Turns, t: Template) -> str:
 WITH RECURSIVE step(p, q, base, n_new, merged, names, opening) AS (VALUES {", ".join(steps)}),
 fin(p, cost, n_new, names, tail) AS (VALUES {", ".join(ends)}),
 coded AS (SELECT conv_id, turn, CASE {names} ELSE 0 END AS code, coalesce(text, '') AS text FROM conversations),
-t AS (SELECT conv_id, code, replace(text, {quote(t.mark)}, {quote(t.instead)}) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code, text) AS k FROM coded),
+t AS (SELECT conv_id, code, replace(coded.text, {quote(t.mark)}, {quote(t.instead)}) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code, CAST('0x' || substr(md5(coded.text), 1, 15) AS BIGINT)) AS k FROM coded),
 dp AS (
   SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS path FROM t
   UNION ALL
