@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 #: Longest run of bytes hashed at once; a single longer text is taken whole.
 CHUNK_BYTES = 1 << 20
 
-#: Rows in an Arrow batch, where the session doesn't say otherwise.
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows and bytes in an Arrow batch where the session doesn't say otherwise, and what lets Python workers give
+# freed memory back at once rather than keep it for later tasks.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -35,12 +37,17 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches, and lets Python workers import this package from where the driver has it; a cluster that ships it
-    another way isn't disturbed."""
-    if spark.conf.get(_BATCH) == "10000":  # Spark's own default, which whole texts make too large for a small worker
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Bounds Arrow batches by rows and bytes unless the session sets them itself, as whole texts make Spark's defaults too large
+    for a small worker; has workers return freed memory; and lets them import this package from where the driver has
+    it, which doesn't disturb a cluster that ships it another way."""
+    set_by_user = spark._jsparkSession.sessionState().conf().settings()
+    for key, value in BATCHES.items():
+        if not set_by_user.containsKey(key):
+            spark.conf.set(key, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for key, value in WORKERS.items():
+        env.setdefault(key, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
     return spark
@@ -51,9 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, in a single process a folder of our own;
+    on a cluster an error, as no folder of one machine will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root for every node of edges (a, b): root is the same for connected nodes and is one of them.
 
     Each round points every node at its smallest neighbour (a grouped minimum, so a hot node is pre-aggregated) and
-    relabels the edges; rounds fall off as the logarithm of the longest path when node numbers are hashes.
+    relabels the edges; rounds fall off as the logarithm of the longest path when node numbers are hashes, and it goes on
+    until no edge is left whatever they are. A null in an edge links nothing; edges of a node to itself and repeated ones don't matter; without edges there
+    are no rows; other columns of edges are ignored.
     """
     maps, left = [], edges.select("a", "b").where("a <> b").distinct()
-    for _ in range(max_rounds):
+    while True:
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a"))).toDF("node", "near")
         parent = scratch.write(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "parents")
         maps.append(parent)
@@ -23,8 +25,6 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 64) -> Data
         left = scratch.write(left.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError(f"no components after {max_rounds} rounds")
     out = maps[0]
     for m in maps[1:]:
         step = m.toDF("root", "next")

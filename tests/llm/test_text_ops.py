@@ -39,11 +39,16 @@ def test_word_hashes_tell_words_apart_and_ignore_case():
 def test_shards_are_even_and_slots_gapless(spark):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randint(0, 300) if i % 3 else "hot copy of a text") for i in range(6000)]
-    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=7, fan=8).select("doc_id", "size", "shard", "slot").toPandas()
-    assert sorted(got.doc_id) == list(range(6000))
-    size = got.groupby("shard")["size"].sum()
-    assert len(size) == 7 and size.max() - size.min() <= 2 * 310
-    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell_bytes in (sharding.CELL_BYTES, 1000):
+        got = sharding.shard_by_bytes(df, n_shards=7, fan=8, cell_bytes=cell_bytes).select("doc_id", "size", "shard", "slot").toPandas()
+        assert sorted(got.doc_id) == list(range(6000))
+        size = got.groupby("shard")["size"].sum()
+        of_text = got.assign(text=got.doc_id.map(dict(rows))).groupby("text").agg(size=("size", "sum"), shards=("shard", "nunique"))
+        small = of_text["size"] <= sharding.WHOLE_SHARE * size.sum() / 7
+        assert (of_text.shards[small] == 1).all() and len(size) == 7
+        assert size.max() - size.min() <= 2 * max(310, of_text["size"][small].max())
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
 def test_sharding_edges(spark, odd):
@@ -293,3 +298,121 @@ def test_spelled_out_addresses_in_any_case():
 
 def test_hash_of_stored_form_is_stable():
     assert hashlib.sha256(media.store(media.pad("a")[0], "pgm")).hexdigest() == hashlib.sha256(b"P5\n192 1\n255\n" + b"a".ljust(192)).hexdigest()
+
+
+def png(w, h, depth, colour, raw, filters, interlace=0):
+    """A PNG of filtered rows; raw: its rows' bytes."""
+    lines = b"".join(bytes([f]) + r for f, r in zip(filters, raw, strict=True))
+    chunk = lambda t, d: len(d).to_bytes(4, "big") + t + d + zlib.crc32(t + d).to_bytes(4, "big")
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([depth, colour, 0, 0, interlace])
+    packed = zlib.compress(lines)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", packed[:5]) + chunk(b"IDAT", packed[5:]) + chunk(b"IEND", b"")
+
+
+def filtered(rows, kinds, step):
+    """PNG filters as the format defines them, byte by byte."""
+    out, above = [], bytes(len(rows[0]))
+    for row, kind in zip(rows, kinds, strict=True):
+        line = bytearray()
+        for i, x in enumerate(row):
+            a, b = row[i - step] if i >= step else 0, above[i]
+            c = above[i - step] if i >= step else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((x - (0, a, b, (a + b) // 2, paeth)[kind]) & 255)
+        out.append(bytes(line))
+        above = row
+    return out
+
+
+@pytest.mark.parametrize("colour,step", [(0, 1), (2, 3), (3, 1), (4, 2), (6, 4)])
+def test_png_samples_of_all_filters_and_colour_types(colour, step):
+    rng = random.Random(colour)
+    rows, kinds = [bytes(rng.randrange(256) for _ in range(7 * step)) for _ in range(10)], [0, 1, 2, 3, 4] * 2
+    blob = png(7, 10, 8, colour, filtered(rows, kinds, step), kinds)
+    (f,) = media.sniff(blob, media.automaton())
+    assert (f.kind, f.length) == ("png", len(blob)) and media.read_samples(blob, f) == b"".join(rows)
+    unknown = png(1, 1, 8, 0, [b"\5"], [9])
+    assert media.read_samples(unknown, media.sniff(unknown, media.automaton())[0]) is None
+
+
+def test_png_headers_must_be_sound():
+    magic = media.automaton()
+    deep = png(3, 2, 16, 2, [bytes(18)] * 2, [0, 0])
+    assert [f.kind for f in media.sniff(deep, magic)] == ["png"] and media.read_samples(deep, media.sniff(deep, magic)[0]) is None
+    assert [f.detail for f in media.sniff(png(2, 2, 8, 0, [bytes(1)] * 1 + [bytes(1)] + [bytes(2)], [0] * 3, 1), magic)] == ["2x2x8i"]
+    for bad in (png(3, 2, 7, 2, [bytes(18)] * 2, [0, 0]), png(3, 2, 8, 2, [bytes(9)], [0]), png(3, 2, 8, 2, [bytes(9)] * 3, [0] * 3), png(0, 2, 8, 2, [b""] * 2, [0, 0])):
+        assert media.sniff(bad, magic) == []
+    short = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\2IHDRab" + zlib.crc32(b"IHDRab").to_bytes(4, "big")
+    assert media.sniff(short, magic) == []
+
+
+def jpeg(frame=True, scan=True):
+    segment = lambda mark, d: b"\xff" + bytes([mark]) + (len(d) + 2).to_bytes(2, "big") + d
+    out = b"\xff\xd8" + segment(0xE0, b"JFIF\0")
+    out += segment(0xC0, bytes([8, 0, 4, 0, 5, 1, 1, 0x11, 0])) if frame else b""
+    out += segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + b"ab\xff\x00c\xff\xd0d" if scan else b""
+    return out + b"\xff\xd9"
+
+
+def test_jpeg_and_pdf_need_their_structure():
+    magic = media.automaton()
+    kinds = lambda b: [(f.kind, f.length) for f in media.sniff(b, magic)]
+    assert kinds(jpeg() + b"tail") == [("jpeg", len(jpeg()))] and media.sniff(jpeg(), magic)[0].detail == "5x4x8"
+    for bad in (jpeg(frame=False), jpeg(scan=False), b"\xff\xd8\xff\xe0\0\2\xff\xd9", jpeg()[:-2]):
+        assert kinds(bad) == []
+    assert kinds(b"%PDF-1.4 nothing startxref zz %%EOF") == [] and kinds(b"%PDF-1.4\nstartxref\n5\n%%EOF") == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_damaged_file_breaks_the_sniffing(seed):
+    rng, magic = random.Random(seed), media.automaton()
+    inner = bytes(rng.randrange(256) for _ in range(2 * media.UNIT))
+    whole = [media.store(inner, k) for k in media.STORED] + [jpeg(), png(5, 3, 8, 6, [bytes(20)] * 3, [4, 3, 1]), zlib.compress(inner, 9, 31), b"%PDF-1.4\nxref\n0 1\n0000000000 65535 f \ntrailer <<>>\nstartxref\n9\n%%EOF", b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"]
+    for blob in whole:
+        for _ in range(120):
+            b = bytearray(blob * rng.randint(1, 2))
+            for _ in range(rng.randint(0, 4)):
+                b[rng.randrange(len(b))] = rng.randrange(256)
+            b = bytes(b[: rng.randint(0, len(b))]) if rng.random() < 0.5 else bytes(b)
+            for f in media.sniff(b, magic):
+                assert f.start >= 0 and 0 < f.length <= len(b) - f.start
+                media.read_samples(b, f)
+
+
+def test_many_openings_without_an_end_stay_linear():
+    import time
+
+    magic, began = media.automaton(), time.time()
+    assert media.sniff(b"%PDF-1.4 " * 100_000, magic) == []
+    assert time.time() - began < 20
+
+
+# packing: ids
+
+
+def test_no_text_is_taken_for_a_mark():
+    import public_tokenizers
+
+    tok = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tok.core is not None
+    rng = random.Random(9)
+    odd = ["a \0first:b", "hello \0first:world now", "\0first:", "", " ", "  a  b ", "\x1c a \x1c", " don't  I'll\n x", "a<|endoftext|>b", "中文 字", "a b  c", "٣ 3", "a 　b", " 's a 's"]
+    odd += ["".join(rng.choice("ab Z\n\t'sd0 1é!ß́   \x1c\x85ĀŁж字") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    want = [e.ids for e in tok.public.encode_batch(odd, add_special_tokens=False)]
+    for _ in range(2):  # fresh, then remembered
+        assert [x.tolist() for x in tok.encode(odd)] == want
+
+
+def test_a_vocabulary_that_proves_nothing_gets_no_core(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer as Public
+
+    made = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    merges = made["model"]["merges"]
+    merges[10], merges[20] = merges[20], merges[10]
+    path = str(tmp_path / "other.json")
+    json.dump(made, open(path, "w", encoding="utf-8"))
+    assert packing.merge_core(Public.from_file(path), path) is None
