@@ -46,7 +46,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
         elif name == "near_duplicates":
             assert {r.doc_id for r in docs.collect()} == {i for i, (_, root, _) in brute_groups(texts, 5, 80).items() if i == root}
         elif name == "decontaminate":
-            gone = {i for i, (n, hit, _) in brute_windows(texts, items).items() if hit and 20 * hit >= n}
+            gone = {i for i, (_, hit, _) in brute_windows(texts, items).items() if hit}
             assert gone and {r.doc_id for r in docs.collect()} == before.keys() - gone
         elif name == "personal_data":
             after = {r.doc_id: r for r in docs.collect()}
