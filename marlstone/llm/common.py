@@ -69,6 +69,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Rows of a few numbers that one task writes.
+THIN_ROWS = 1 << 17
+
+
 class Scratch:
     """Tables written to the shared folder; lineage ends at each, so a lost executor costs one stage."""
 
@@ -76,9 +80,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
         self.n, self.paths = 0, []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: of a table of thin rows, how many there are at most; it is then written by one task per THIN_ROWS of them, as a
+        file for each of very many partitions costs more than its rows."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
+        if rows is not None and (tasks := max(1, -(-rows // THIN_ROWS))) < shuffle_width(self.spark):
+            df = df.coalesce(tasks)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -17,13 +17,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     are no rows; other columns of edges are ignored.
     """
     maps, left = [], edges.select("a", "b").where("a <> b").distinct()
+    n = edges.count()
     while True:
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a"))).toDF("node", "near")
-        parent = scratch.write(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "parents")
+        parent = scratch.write(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "parents", 2 * n)
         maps.append(parent)
         pa, pb = parent.toDF("a", "ra"), parent.toDF("b", "rb")
-        left = scratch.write(left.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-        if left.isEmpty():
+        left = scratch.write(left.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges", n)
+        n = left.count()
+        if not n:
             break
     out = maps[0]
     for m in maps[1:]:

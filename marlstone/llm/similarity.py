@@ -12,8 +12,9 @@ such a range two linked sets differ in at most D shingles. The hash space of shi
 A few spare parts make up for empty ones, which are no signatures. Shingles of widespread passages are left out of
 the parts, which can only bring two sets closer; sets that have little else are taken whole as well.
 
-The boundary is where subsets of two parts outnumber three times the single parts, which is at D = 4 whatever the data:
-light ranges are those with D <= 4. A list chains its members to the smallest, never to each other; chained sets form clusters, and only within clusters are sets
+The boundary is where the whole costs least by what was counted: the sets of each size, and how often shingles that aren't
+widespread meet in unrelated sets. Subsets are more signatures, but their lists bring fewer unrelated sets together, which
+pays for many small sets of a poor vocabulary. A list chains its members to the smallest, never to each other; chained sets form clusters, and only within clusters are sets
 compared, exactly and in blocks, so a large cluster is spread over many tasks and no pair but the linked ones leaves a task.
 """
 
@@ -34,6 +35,8 @@ from .components import components
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 21
 #: Bits of the filter that spares documents outside all clusters the second reading; its size is fixed.
 FILTER_BITS = 1 << 23
+#: What comparing two sets costs a shingle, in units of one signature.
+COMPARE = 0.01
 #: Cells that shingles are counted in to tell the widespread ones, and the sets that a cell needs at least.
 CELLS, WIDESPREAD = 1 << 22, 64
 
@@ -63,7 +66,8 @@ class Ranges:
     With spare parts, linked sets agree in more parts than either has empty ones, so empty parts needn't be signatures.
     """
 
-    def __init__(self, num: int, den: int, histogram: dict[int, int], scan_cost: int = 2):
+    def __init__(self, num: int, den: int, histogram: dict[int, int], meet: float = 0.0):
+        """histogram: sets by their size; meet: how likely a shingle of one set is in another."""
         self.bounds, largest = [1], max(histogram, default=1)
         while self.bounds[-1] <= largest:
             self.bounds.append(self.bounds[-1] * den // num + 1)
@@ -72,9 +76,30 @@ class Ranges:
             top = 2 * (self.bounds[i + 1] - 1)
             d = max(s - 2 * -(-num * s // (num + den)) for s in range(max(2, top - 2 * (num + den)), top + 1))
             self.differ.append(d)
-            self.light.append(comb(d + 2, 2) <= (d + 1) * (1 + scan_cost))
             empty = (d + 1) * exp(-0.8 * self.bounds[i] / (d + 1))
             self.spare.append(ceil(empty + 3 * empty**0.5) + 1 if d else 0)
+        self.costs = [self._costs(i, histogram, meet) for i in range(len(self.differ))]
+        # the boundary between light and heavy ranges that makes all of them cheapest
+        below = [sum(c[0] for c in self.costs[:k]) + sum(c[1] for c in self.costs[k:]) for k in range(len(self.costs) + 1)]
+        self.boundary = below.index(min(below))
+        self.light = [i < self.boundary for i in range(len(self.differ))]
+
+    def _costs(self, i: int, histogram: dict[int, int], meet: float) -> tuple[float, float]:
+        """What a range costs with subsets of two parts, and with single parts: its signatures, made and exchanged at a unit each; and
+        the pairs of unrelated sets that its inverted lists bring together, which are compared at COMPARE a shingle. Two sets
+        meet in a part if all its shingles are in both."""
+        lo, hi = self.bounds[max(0, i - 1)], self.bounds[i + 1]
+        some = [(n, c) for n, c in histogram.items() if lo <= n < hi]
+        sets, shingles = sum(c for _, c in some), sum(n * c for n, c in some)
+        if not sets:
+            return 0.0, 0.0
+        out = []
+        for extra in (1, 0):
+            parts = self.differ[i] + 1 + extra + self.spare[i]
+            kinds, each = (comb(parts, 2), 2) if extra else (parts, 1)
+            strays = sets * (sets - 1) / 2 * kinds * min(1.0, meet) ** max(1.0, each * shingles / sets / parts)
+            out.append(sets * kinds + strays * COMPARE * shingles / sets)
+        return out[0], out[1]
 
     def of(self, n: int) -> tuple[int, int]:
         """The two ranges a set of n shingles takes part in: its own interval's, and the next, as the smaller side."""
@@ -116,8 +141,9 @@ class Ranges:
         return combine(one[a[keep]], one[b[keep]])
 
 
-def _widespread(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """One bit per hash cell: whether its shingles are in far more distinct sets than most. Any choice gives the same links.
+def _widespread(docs: DataFrame, text_col: str, size: int, sets: int, shingles: int) -> tuple[np.ndarray, float]:
+    """One bit per hash cell: whether its shingles are in far more distinct sets than most; any choice gives the same links. And how
+    likely a shingle of one set that isn't widespread is in another set, for the costs.
 
     Tasks report cells that they met often; at most CELLS numbers reach the driver, and CELLS / 8 bytes go out.
     """
@@ -138,8 +164,12 @@ def _widespread(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     counts = docs.select(text_col).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n >= {WIDESPREAD}").toPandas()
     out = np.zeros(CELLS, bool)
     n = counts.n.to_numpy(np.int64)
-    out[counts.cell.to_numpy(np.int64)[n >= WIDESPREAD + 4 * n.sum() // CELLS]] = True
-    return np.packbits(out)
+    hot = n >= WIDESPREAD + 4 * n.sum() // CELLS
+    out[counts.cell.to_numpy(np.int64)[hot]] = True
+    # other cells hold a share of the rest of the shingles each, or what was counted
+    rest = max(0, shingles - n.sum())
+    met = rest * max(1.0, rest / CELLS) + float((n[~hot].astype(np.float64) ** 2).sum())
+    return np.packbits(out), met / max(1, shingles) / max(1, sets)
 
 
 def _signatures(docs: DataFrame, text_col: str, size: int, ranges: Ranges, buckets: int, widespread: np.ndarray) -> DataFrame:
@@ -336,13 +366,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "similarity")
     thin = scratch.write(docs.select(F.col(id_col), _measure(size)(text_col).alias("m")).select(id_col, "m.n", "m.node"), "sizes")
     classes = thin.where("n > 0").groupBy("node").agg(F.min(id_col).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    classes = scratch.write(classes, "classes")
+    classes = scratch.write(classes, "classes", thin.count())
     histogram = {r.n: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    ranges = Ranges(num, den, histogram)
-    total = sum(n * c for n, c in histogram.items())
+    kinds, total = sum(histogram.values()), sum(n * c for n, c in histogram.items())
+    widespread, meet = _widespread(docs, text_col, size, kinds, total)
+    ranges = Ranges(num, den, histogram, meet)
     buckets = max(shuffle_width(spark), total // (1 << 21))
-    chains = scratch.write(_chains(_signatures(docs, text_col, size, ranges, buckets, _widespread(docs, text_col, size))), "chains")
-    clusters = scratch.write(components(chains, scratch), "clusters")
+    chains = scratch.write(_chains(_signatures(docs, text_col, size, ranges, buckets, widespread)), "chains", kinds)
+    clusters = scratch.write(components(chains, scratch), "clusters", kinds)
     found = _sets(docs, text_col, size, _filter_words(clusters))
     sizes = clusters.join(classes, "node").groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(F.col("total") / BLOCK_SHINGLES))
@@ -362,7 +393,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = joined.join(least, "root").join(degree, "node", "left")
     of_class = of_class.select("node", "root", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    of_class = scratch.write(of_class, "of-class")
+    of_class = scratch.write(of_class, "of-class", kinds)
     scratch.keep_only(thin, of_class)
     return thin.join(of_class, "node", "left").select(
         id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),

@@ -96,10 +96,15 @@ def test_ranges_cover_all_linked_sizes():
                     assert i in r.of(n) and i in r.of(m) and n + m - 2 * need <= r.differ[i]
 
 
-def test_light_ranges_are_those_of_small_differences():
-    r = similarity.Ranges(90, 100, {3000: 1})
-    assert r.light == [d <= 4 for d in r.differ] and {True, False} == set(r.light)
-    assert r.light == similarity.Ranges(90, 100, {n: 9 for n in range(1, 3001)}).light
+def test_the_boundary_moves_with_the_data():
+    sizes = range(1, 400)
+    few, many = {n: 100 for n in sizes}, {n: 10**7 for n in sizes}
+    at = lambda histogram, meet: similarity.Ranges(90, 100, histogram, meet).boundary
+    assert at(few, 0.0) == 0 and at(many, 0.0) == 0  # nothing strays, so single parts are cheapest
+    assert 0 < at(many, 0.05) < at(many, 0.6) and at(few, 0.05) < at(many, 0.05)
+    r = similarity.Ranges(90, 100, many, 0.3)
+    whole = lambda k: sum(c[0] for c in r.costs[:k]) + sum(c[1] for c in r.costs[k:])
+    assert whole(r.boundary) == min(map(whole, range(len(r.costs) + 1)))
 
 
 def test_components(spark):
@@ -230,7 +235,8 @@ def test_number_blobs():
 
 def test_linked_sets_share_a_signature_whatever_is_widespread():
     rng = np.random.default_rng(6)
-    kinds = [(num, similarity.Ranges(num, 100, {k: 10 for k in range(1, 90)}, scan_cost=cost)) for num in (80, 90) for cost in (-1.0, 2.0, 1e9)]
+    kinds = [(num, similarity.Ranges(num, 100, {k: 10**6 for k in range(1, 90)}, meet)) for num in (80, 90) for meet in (0.0, 0.2, 0.9)]
+    assert len({r.boundary for _, r in kinds}) > 2
     linked = 0
     for _ in range(3000):
         num, ranges = kinds[rng.integers(len(kinds))]
