@@ -1,17 +1,23 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the histories seen in training, here single words and the start. State h has an arc for every word w that
-followed it, weighing log10 of (c(hw) + k P(w)) / (c(h) + k), and a failure arc to the root, weighing log10 of
-k / (c(h) + k), where the word's own arc log10 P(w) is taken. P is the unigram with 0.1 added; k is chosen by the
-likelihood of the training text with each token left out of its own counts. A text is one left-to-right walk.
-
-Counts are too large for one place, so documents lie in blocks and n-grams in key ranges. A block asks each range once
-for its distinct n-grams, sorted, with its own training counts; the range adds up what all blocks say and answers
-each in the same order.
+States are the histories of up to ORDER - 1 tokens that were seen in training, the start of a text counting as a token, and
+the root, which is the empty history. State h has an arc for every word w that followed it, weighing log10 P(w | h), to the
+longest history that ends hw and is a state; and a failure arc to the history without its first token, weighing the log10
+of the share that P leaves to it. P(w | h) = (c(hw) + k P(w | h without its first token)) / (c(h) + k), so that a word
+that never followed h weighs what the failure arc and the shorter history say. The root has an arc for every word: the
+unigram with 0.1 added. A text is one walk from the start's state, left to right, that carries its state and adds up weights.
+k is chosen by the likelihood of the training text with each token left out of its own counts; the walk adds up the
+weights under all k that are tried, as the way that it takes doesn't depend on k.
+
+Counts are too large for one place, so documents lie in blocks and n-grams in key ranges. A block asks each range once for
+its distinct n-grams, sorted, with its own training counts; the range adds up what all blocks say and answers each in the
+same order. With that a block builds the part of the automaton that its texts can reach. Blocks talk to all ranges, so
+messages grow as their product: at a given size of blocks and ranges, with the square of the input.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,27 +29,44 @@ from .common import BLANKS, Scratch, combine, hash_words, session, shuffle_width
 from .language import held_out
 
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFEED1E57)
+#: Tokens in the longest n-grams.
+ORDER = 3
 #: Bytes of text in a block, and distinct n-grams in a key range, about.
-BLOCK_BYTES, RANGE_KEYS = 12 << 20, 2 << 20
-#: Added to every unigram count, and the values of k that are tried.
-ADD, BACKOFF = 0.1, (4.0, 32.0, 256.0, 2048.0, 16384.0)
-#: Bits of a key by order: words are told apart by 64 bits, word pairs by 48 (a pair takes another's count with a chance of pairs / 2^48).
-KEY_BITS = (64, 48)
-
-
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, the one before it (or the start), and the text it is in, for all tokens of all texts."""
-    out = []
-    for words in hash_words(texts, BLANKS):
-        token = np.insert(words.hashes, words.bounds[1:], END)
-        before = np.concatenate([[START], token[:-1]])
-        before[before == END] = START
-        out.append((token, before, words.first + np.repeat(np.arange(len(words)), np.diff(words.bounds) + 1)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def keys_of(token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return token, combine(before, token) >> np.uint64(64 - KEY_BITS[1])
+BLOCK_BYTES, RANGE_KEYS = 4 << 20, 2 << 20
+#: Bytes of text that a task holds before it sends them to their blocks.
+PIECE_BYTES = 16 << 20
+#: Added to every unigram count; the values of k that are tried after one token, and how many times less k is after each further one.
+ADD, BACKOFF, LESS = 0.1, (32.0, 256.0, 2048.0, 16384.0), 4.0
+#: Tokens of a text that are walked one after the other; the parts of a longer text are walked side by side.
+LANE = 512
+
+
+class Tokens:
+    """Tokens of several texts, each text ended by END: the text and the place in it of each."""
+
+    def __init__(self, texts: list[str | None]):
+        out = []
+        for words in hash_words(texts, BLANKS):
+            token = np.insert(words.hashes, words.bounds[1:], END)
+            n = np.diff(words.bounds) + 1
+            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            out.append((token, words.first + np.repeat(np.arange(len(words)), n), place))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.token, self.text, self.place = parts
+
+    def has(self, n: int) -> np.ndarray:
+        """The tokens at which an n-gram ends: those with n - 1 tokens before them, the start counting as one."""
+        return np.flatnonzero(self.place >= n - 2)
+
+    def keys(self, n: int) -> np.ndarray:
+        """A hash of each n-gram, in the order of has."""
+        if n == 1:
+            return self.token
+        columns = [self.token]
+        for back in range(1, n):
+            before = np.concatenate([np.full(min(back, len(self.token)), START), self.token[:-back]])
+            columns.append(np.where(self.place < back, START, before))
+        return combine(*columns[::-1])[self.has(n)]
 
 
 def cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -66,21 +89,58 @@ def grow(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _ask(ranges: int):
-    """One block's distinct keys and training counts, by order and range."""
+def _packed(docs: DataFrame, kind: pa.DataType, columns: list[str]) -> DataFrame:
+    """block, blob: the rows of docs by block, compressed, as they are exchanged."""
+    schema = pa.schema([("id", kind), ("text", pa.string()), ("held_out", pa.bool_())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            block = rows.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            rows, block = rows.select([1, 2, 3]).take(pa.array(order)).rename_columns(schema.names).cast(schema), block[order]
+            cut = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+            blobs = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                out = io.BytesIO()
+                with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(rows.slice(a, b - a))
+                blobs.append(out.getvalue())
+            return pa.record_batch([pa.array(block[cut[:-1]]), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > PIECE_BYTES:
+                yield flush()
+                held, size = [], 0
+        if any(len(b) for b in held):
+            yield flush()
+
+    return docs.select(*columns).mapInArrow(pack, "block long, blob binary")
+
+
+def _unpacked(block: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in block.column("blob")])
+
+
+def _ask(order: int, ranges: int):
+    """One block's distinct n-grams and training counts, by n and range."""
 
     def ask(key: tuple, block: pa.Table) -> pa.Table:
-        token, before, doc = tokens_of(block.column("text").to_pylist())
-        trains = ~block.column("held_out").to_numpy()[doc] if len(doc) else np.zeros(0, bool)
+        block = _unpacked(block)
+        tokens = Tokens(block.column("text").to_pylist())
+        trains = ~block.column("held_out").to_numpy()[tokens.text] if len(tokens.text) else np.zeros(0, bool)
         rows: list[tuple] = []
-        for order, all_keys in enumerate(keys_of(token, before)):
-            keys, back = np.unique(all_keys, return_inverse=True)
-            n = np.bincount(back[trains], minlength=len(keys))
-            at = [0, *cuts(keys, KEY_BITS[order], ranges), len(keys)]
-            for r in range(ranges):
-                lo, hi = at[r], at[r + 1]
+        for n in range(1, order + 1):
+            keys, back = np.unique(tokens.keys(n), return_inverse=True)
+            counts = np.bincount(back[trains[tokens.has(n)]], minlength=len(keys))
+            at = [0, *cuts(keys, 64, ranges), len(keys)]
+            for r, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 if hi > lo:
-                    rows.append((key[0].as_py(), order, r, shrink(np.diff(keys[lo:hi], prepend=np.uint64(0))), shrink(n[lo:hi])))
+                    rows.append((key[0].as_py(), n, r, shrink(np.diff(keys[lo:hi], prepend=np.uint64(0))), shrink(counts[lo:hi])))
         return pa.table({c: pa.array(x, t) for c, t, x in zip(("block", "grams", "range", "keys", "counts"), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), zip(*rows, strict=True) if rows else [[]] * 5, strict=True)})
 
     return ask
@@ -99,76 +159,166 @@ def _answer(key: tuple, asked: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(x, t) for c, t, x in zip(("block", "grams", "range", "counts", "tokens", "distinct"), types, zip(*rows, strict=True), strict=True)})
 
 
-class Walk:
-    """Log-probabilities of tokens for each value of k, from the counts of words, histories and pairs."""
-
-    def __init__(self, total: int, distinct: int, starts: int):
-        self.log_all = np.log10(total + ADD * (distinct + 1))
-        self.starts = starts
-
-    def base(self, word: np.ndarray) -> np.ndarray:
-        return np.log10(word + ADD) - self.log_all
-
-    def arcs(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray, k: float) -> np.ndarray:
-        """The pair's own arc where there is one, else the failure arc and the word's arc from the root."""
-        p = 10.0 ** self.base(word)
-        return np.log10(np.where(pair > 0, pair + k * p, k * p)) - np.log10(history + k)
+class Automaton:
+    """The states and arcs that some texts can reach, from the counts of all their n-grams.
 
+    grams[n - 1][i] is the number among the distinct n-grams of the one that ends at token i, or -1; first is a token at which
+    each ends. State numbers: 0 is the root, 1 the start, then histories of one token, of two, and so on. Arc numbers: n-grams in
+    the same order. Weights have a column for each k.
+    """
 
-def _score(id_type: pa.DataType, id_col: str, ranges: int, walk: Walk):
+    def __init__(self, tokens: Tokens, grams: list[np.ndarray], first: list[np.ndarray], counts: list[np.ndarray], total: int, distinct: int, starts: int):
+        self.tokens, self.grams, self.order, self.starts, self.counts = tokens, grams, len(grams), float(starts), [c.astype(np.float64) for c in counts]
+        self.k = np.array([[b / LESS**n for b in BACKOFF] for n in range(self.order - 1)])
+        self.log_all = np.log10(total + ADD * (distinct + 1))
+        self.state_at = np.cumsum([2, *map(len, counts[:-1])])
+        self.arc_at = np.cumsum([0, *map(len, counts)])
+        self.level, self.fail, self.known = (np.zeros(self.state_at[-1], t) for t in (np.int8, np.int64, np.float64))
+        self.level[1], self.known[1] = min(1, self.order - 1), self.starts
+        self.seen, self.weight = np.ones(self.arc_at[-1], bool), np.zeros((self.arc_at[-1], len(BACKOFF)))
+        p = np.repeat(10.0 ** self.base(self.counts[0])[:, None], len(BACKOFF), 1)  # the root knows every word
+        for n in range(1, self.order + 1):
+            c, at = self.counts[n - 1], first[n - 1]
+            arcs = slice(self.arc_at[n - 1], self.arc_at[n])
+            if n > 1:
+                k = self.k[n - 2]
+                p = (c[:, None] + k * p[grams[n - 2][at]]) / (self._history(n, at)[:, None] + k)
+                self.seen[arcs] = c > 0
+            self.weight[arcs] = np.log10(p)
+            if n < self.order:
+                states = slice(self.state_at[n - 1], self.state_at[n])
+                self.level[states], self.known[states] = n, c
+                if n > 1:  # what is left without the first token ends at the same place
+                    self.fail[states] = self.state_at[n - 2] + grams[n - 2][at]
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10(count + ADD) - self.log_all
+
+    def _history(self, n: int, at: np.ndarray) -> np.ndarray:
+        """How often the first n - 1 tokens of the n-grams that end at the tokens were a history."""
+        before = self.counts[n - 2][self.grams[n - 2][np.maximum(at - 1, 0)]]
+        return np.where(self.tokens.place[at] == 0, self.starts, before) if n == 2 else before
+
+    def left_out(self, mine: np.ndarray) -> np.ndarray:
+        """For each k the log-probability of the tokens of mine (a flag for each), each left out of its own counts."""
+        out = np.zeros(len(BACKOFF))
+        place = self.tokens.place
+        for n in range(min(2, self.order), self.order + 1):
+            longest = mine & (place >= n - 2 if n == self.order else place == n - 2)
+            ids = self.grams[n - 1][longest]
+            kinds, one, times = np.unique(ids, return_index=True, return_counts=True)
+            at = np.flatnonzero(longest)[one]
+            p = np.repeat(10.0 ** self.base(np.maximum(self.counts[0][self.grams[0][at]] - 1, 0))[:, None], len(BACKOFF), 1)
+            for m in range(2, n + 1):
+                c, h = self.counts[m - 1][self.grams[m - 1][at]], self._history(m, at)
+                p = (np.maximum(c - 1, 0)[:, None] + self.k[m - 2] * p) / (np.maximum(h - 1, 0)[:, None] + self.k[m - 2])
+            out += times @ np.log10(p)
+        return out
+
+    def after(self, at: np.ndarray) -> np.ndarray:
+        """The state after each token: the longest history that ends there and was seen, which is where any walk arrives."""
+        out = np.zeros(len(at), np.int64)
+        for n in range(1, self.order):
+            gram = self.grams[n - 1][at]
+            state = self.state_at[n - 1] + np.maximum(gram, 0)
+            longer = (gram >= 0) & (self.known[state] > 0)
+            out[longer] = state[longer]
+        return out
+
+    def walk(self, texts: int) -> np.ndarray:
+        """The log-probability of each text for each k. All texts, long ones in parts, are walked side by side, a token a step."""
+        place = self.tokens.place
+        start = np.flatnonzero(place % LANE == 0)
+        n = np.diff(np.append(start, len(place)))
+        longest = np.argsort(-n, kind="stable")
+        start, n = start[longest], n[longest]
+        state = np.where(place[start] == 0, int(self.order > 1), self.after(np.maximum(start - 1, 0)))
+        sums = np.zeros((len(start), len(BACKOFF)))
+        for step in range(int(n[0]) if len(n) else 0):
+            going = int(np.searchsorted(-n, -step, "left"))
+            state[:going] = self._step(start[:going] + step, state[:going], sums[:going])
+        out = np.zeros((texts, len(BACKOFF)))
+        order = np.argsort(start, kind="stable")  # parts of a text in their order, so that equal texts add up alike
+        np.add.at(out, self.tokens.text[start[order]], sums[order])
+        return out
+
+    def _step(self, at: np.ndarray, state: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The states after one more token each: failure arcs while a state has no arc for it, then the arc."""
+        state, left, out = state.copy(), np.arange(len(at)), np.zeros(len(at), np.int64)
+        for n in range(self.order, 0, -1):  # an arc from a history of n - 1 tokens is an n-gram
+            here = self.level[state[left]] == n - 1
+            lane = left[here]
+            arc = self.arc_at[n - 1] + self.grams[n - 1][at[lane]]
+            has = self.seen[arc]
+            goes, falls = lane[has], lane[~has]
+            sums[goes] += self.weight[arc[has]]
+            if len(falls):
+                sums[falls] += np.log10(self.k[n - 2]) - np.log10(self.known[state[falls]][:, None] + self.k[n - 2])
+                state[falls] = self.fail[state[falls]]
+                left = np.concatenate([left[~here], falls])
+            else:
+                left = left[~here]
+            m = min(n, self.order - 1)
+            if m:  # to the n-gram as a history, without its first token where that is too long; a word never seen leads to the root
+                to = self.state_at[m - 1] + self.grams[m - 1][at[goes]]
+                out[goes] = np.where(self.known[to] > 0, to, 0)
+        return out
+
+
+def _score(id_col: str, order: int, ranges: int, total: int, distinct: int, starts: int):
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = block.column("text").to_pylist()
-        token, before, doc = tokens_of(texts)
-        out = block.column("held_out").to_numpy()
+        block = _unpacked(block)
+        tokens = Tokens(block.column("text").to_pylist())
         said = {(o, r): c for o, r, c in zip(answers.column("grams").to_pylist(), answers.column("range").to_pylist(), answers.column("counts"), strict=True)}
-        counts = []
-        for order, all_keys in enumerate(keys_of(token, before)):
-            keys, back = np.unique(all_keys, return_inverse=True)
-            n = [grow(said[order, r].as_buffer().to_pybytes()) for r in range(ranges) if (order, r) in said]
-            n = np.concatenate(n) if n else np.zeros(0, np.uint64)
-            counts.append(n.astype(np.float64)[back])
-            if order == 0:
-                words, of_word = keys, n.astype(np.float64)
-        word, pair = counts
-        at = np.minimum(np.searchsorted(words, before), max(0, len(words) - 1))
-        history = np.where(before == START, float(walk.starts), of_word[at] if len(words) else 0.0)
-        size = len(texts)
-        add = lambda x: np.bincount(doc, weights=x, minlength=size)
-        cols = {id_col: block.column(id_col), "held_out": block.column("held_out"), "n_tokens": np.bincount(doc, minlength=size), "n_known": add(word > 0).astype(np.int64), "base_score": add(walk.base(word))}
-        mine = (~out)[doc]  # tokens that were counted: leave one out
-        for i, k in enumerate(BACKOFF):
-            cols[f"score_{i}"] = add(walk.arcs(word, history, pair, k))
-            less = walk.arcs(np.maximum(word - 1, 0), np.maximum(history - 1, 0), np.maximum(pair - 1, 0), k)
-            cols[f"left_out_{i}"] = add(np.where(mine, less, 0.0))
+        grams, first, counts = [], [], []
+        for n in range(1, order + 1):
+            has = tokens.has(n)
+            _, one, back = np.unique(tokens.keys(n), return_index=True, return_inverse=True)
+            gram = np.full(len(tokens.token), -1, np.int32)
+            gram[has] = back
+            got = [grow(said[n, r].as_buffer().to_pybytes()) for r in range(ranges) if (n, r) in said]
+            grams.append(gram), first.append(has[one]), counts.append(np.concatenate(got) if got else np.zeros(0, np.uint64))
+        auto = Automaton(tokens, grams, first, counts, total, distinct, starts)
+        size, word = len(block), auto.counts[0][grams[0]]
+        add = lambda x: np.bincount(tokens.text, weights=x, minlength=size)
+        out = block.column("held_out").to_numpy()
+        cols = {id_col: block.column("id"), "held_out": block.column("held_out"), "n_tokens": np.bincount(tokens.text, minlength=size), "n_known": add(word > 0).astype(np.int64), "base_score": add(auto.base(word))}
+        sums, left_out = auto.walk(size), auto.left_out(~out[tokens.text])
+        for i in range(len(BACKOFF)):
+            cols[f"score_{i}"] = sums[:, i]
+            cols[f"left_out_{i}"] = np.concatenate([left_out[i : i + 1], np.zeros(max(0, size - 1))])[:size]  # the block's, in its first row
         return pa.table(cols)
 
     return score
 
 
-def score_texts(docs: DataFrame, out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    out: a boolean column, true for rows to be left out of training. A null or empty text is its end token alone. Equal
-    texts get equal scores up to the order of addition; repeated rows and null ids are scored like others; without training rows every
-    token is unknown. An empty table gives no rows; other columns of the input aren't carried.
+    out: a boolean column, true for rows to be left out of training. A null or empty text is its end token alone; a very long one
+    is in one block, as a whole. Equal texts get equal scores up to the order of addition; repeated rows and null ids are
+    scored like others; without training rows every token is unknown. An empty table gives no rows; other columns of the input
+    aren't carried, whatever their names.
     """
     spark = session(docs)
     scratch = Scratch(spark, "scoring")
-    docs = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(out, F.lit(True)).alias("held_out"))
-    size = docs.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long")).alias("b")).first().b or 0
-    width = shuffle_width(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
+    arrow_kind = docs.limit(0).select(id_col).toArrow().schema.field(0).type
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(out, F.lit(True)).alias("held_out"))
+    lim = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1).cast("long")).alias("b"), F.count_if(~F.col("held_out")).alias("starts")).first()
+    width, size = shuffle_width(spark), lim.b or 0
     blocks = max(width, -(-size // block_bytes))
     ranges = max(width // 2, -(-size // (6 * RANGE_KEYS)), 1)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64(id_col, "text"), F.lit(blocks)))
-    asked = docs.groupBy("block").applyInArrow(_ask(ranges), "block long, grams int, range int, keys binary, counts binary")
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(blocks)))
+    packed = _packed(docs, arrow_kind, ["block", "id", "text", "held_out"])
+    packed = scratch.write(packed, "packed")
+    asked = packed.groupBy("block").applyInArrow(_ask(order, ranges), "block long, grams int, range int, keys binary, counts binary")
     answers = asked.groupBy("grams", "range").applyInArrow(_answer, "block long, grams int, range int, counts binary, tokens long, distinct long")
     answers = scratch.write(answers, "answers")
-    total = answers.where("block = -1 and grams = 0").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    starts = docs.where("not held_out").count()
-    kind = docs.schema[id_col].dataType.simpleString()
+    total = answers.where("block = -1 and grams = 1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     schema = f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, base_score double, " + ", ".join(f"score_{i} double, left_out_{i} double" for i in range(len(BACKOFF)))
-    walk = Walk(total.n or 0, total.v or 0, starts)
-    scored = docs.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score(None, id_col, ranges, walk), schema)
+    score = _score(id_col, order, ranges, total.n or 0, total.v or 0, lim.starts)
+    scored = packed.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, schema)
     scored = scratch.write(scored, "scored")
     scratch.keep_only(scored)
     left_out = scored.agg(*[F.sum(f"left_out_{i}").alias(f"s{i}") for i in range(len(BACKOFF))]).first()

@@ -195,32 +195,70 @@ def test_repeats_edges(spark):
 # scoring
 
 
-def test_scores_against_brute_force(spark):
+def grams_of(seq, n):
+    return [tuple(seq[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(seq))]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_against_brute_force(spark, monkeypatch, order):
+    """Every probability by the recursive formula over plain counts; long texts are walked in several parts."""
     rng = random.Random(4)
-    docs = [(i, " ".join(rng.choice(["the", "cat", "Sat", "on", f"w{rng.randint(0, 50)}"]) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(200, None), (201, "never seen")]
+    docs = [(i, " ".join(rng.choice(["the", "cat", "Sat", "on", f"w{rng.randint(0, 50)}"]) for _ in range(rng.choice([0, 3, 30, 700 if i % 20 == 0 else 9])))) for i in range(80)] + [(200, None), (201, "never seen"), (201, "never seen")]
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
-    tokens = {i: [*words(t), None] for i, t in docs}
-    c, pairs, n_docs = collections.Counter(), collections.Counter(), 0
-    for i, t in tokens.items():
+    counts, n_docs = {n: collections.Counter() for n in range(1, order + 1)}, 0
+    tokens = [(i, [*words(t), "</s>"]) for i, t in docs]
+    for i, t in tokens:
         if not out[i]:
-            c.update(t), pairs.update(zip(["<s>", *t], t))
             n_docs += 1
-    total, kinds = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (total + 0.1 * (kinds + 1))
-    got = scoring.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), held_out(modulus=10, fold=0), block_bytes=300).collect()
+            for n in counts:
+                counts[n].update(grams_of(["<s>", *t], n))
+    total, kinds = sum(counts[1].values()), len(counts[1])
+
+    def p(seq, i, n, k):
+        gram = tuple(seq[i - n + 1 : i + 1])
+        if n == 1:
+            return (counts[1][gram] + 0.1) / (total + 0.1 * (kinds + 1))
+        k_n = k / scoring.LESS ** (n - 2)
+        history = n_docs if gram[:-1] == ("<s>",) else counts[n - 1][gram[:-1]]
+        return (counts[n][gram] + k_n * p(seq, i, n - 1, k)) / (history + k_n)
+
+    got = scoring.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), held_out(modulus=10, fold=0), block_bytes=3000, order=order).collect()
     assert len(got) == len(docs)
-    history = lambda h: n_docs if h == "<s>" else c[h]
-    fits = collections.Counter()
+    fits, by_id = collections.Counter(), dict(tokens)
     for r in got:
-        t = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(t), sum(c[w] > 0 for w in t), total)
-        assert math.isclose(r.base_score, sum(math.log10(p(w)) for w in t), abs_tol=1e-9)
+        t = by_id[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(t), sum(counts[1][(w,)] > 0 for w in t), total)
+        assert math.isclose(r.base_score, sum(math.log10(p(["<s>", *t], i + 1, 1, 0)) for i in range(len(t))), abs_tol=1e-6)
         for k in scoring.BACKOFF:
-            want = sum(math.log10((pairs[h, w] + k * p(w)) / (history(h) + k)) for h, w in zip(["<s>", *t], t))
-            fits[k] += math.isclose(r.score, want, abs_tol=1e-9)
+            seq = ["<s>", *t]
+            fits[k] += math.isclose(r.score, sum(math.log10(p(seq, i, min(order, i + 1), k)) for i in range(1, len(seq))), abs_tol=1e-6)
     assert max(fits.values()) == len(docs)
 
 
+def test_the_walk_takes_failure_arcs_and_arrives_at_the_longest_history():
+    texts = ["a b c a b d", "b c", "x", "a b c x a"]
+    tokens = scoring.Tokens(texts)
+    train = tokens.text < 2
+    grams, first, counts = [], [], []
+    for n in (1, 2, 3):
+        has = tokens.has(n)
+        _, one, back = np.unique(tokens.keys(n), return_index=True, return_inverse=True)
+        gram = np.full(len(tokens.token), -1, np.int32)
+        gram[has] = back
+        grams.append(gram), first.append(has[one]), counts.append(np.bincount(back[train[has]], minlength=len(one)))
+    auto = scoring.Automaton(tokens, grams, first, counts, int(train.sum()), int((counts[0] > 0).sum()), 2)
+    state, falls = np.array([1]), []
+    last = np.flatnonzero(tokens.text == 3)
+    for at in last:
+        before = auto.level[state[0]]
+        sums = np.zeros((1, len(scoring.BACKOFF)))
+        state = auto._step(np.array([at]), state, sums)
+        assert state[0] == auto.after(np.array([at]))[0] and (sums < 0).all()
+        falls.append((int(before), int(auto.level[state[0]])))
+    # a, then a b, then b c; x was never seen, so the walk falls to the root; a again; and the end
+    assert falls == [(1, 2), (2, 2), (2, 2), (2, 0), (0, 1), (1, 1)]
+
+
 def test_scoring_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (1, None), (1, None)], "doc_id long, text string")
     got = scoring.score_texts(df, F.lit(True)).collect()
