@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, combine, hash_words, session, table, without
+from .common import NOT_ALNUM, combine, free_name, hash_words, session, table, without
 
-#: UTF-8 bytes of benchmark text that one pass over the documents carries along; a larger benchmark takes more passes.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text that are made into windows at a time; a larger benchmark takes more counts of shingles.
+BLOCK_BYTES = 2 << 20
 SHINGLE = 3
 OWN = ("n_words", "n_hit", "hits", "items")
 _RESULT = "n_words long, n_hit long, hits array<struct<start:int,end:int>>, items array<string>"
@@ -188,19 +188,20 @@ def find_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", it
 
     Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased. A null text has no words; an item
     without words has no window; an item whose id is null counts for hits but isn't listed; equal items are all listed;
-    empty tables give no hits or no rows. Input columns named like the operator's own are replaced. The benchmark is a
-    query set and goes through in blocks of block_bytes, one pass each, so what is sent to executors is bounded.
+    empty tables give no hits or no rows; a very long text is read whole. Input columns named like the operator's own are
+    replaced. The benchmark is a query set: its windows are made and counted in blocks of block_bytes, and all of them, some
+    130 bytes a word, go to the executors with the one pass that looks for them, so it has to fit there.
     """
     session(docs)
-    out, state = without(docs, *OWN), None
+    out, state, made = without(docs, *OWN), None, free_name(docs)
     for ids, texts in _blocks(items, item_id_col, item_text_col, block_bytes):
         block = Block(ids, texts, window)
         keys = block.keys()
         scan = _scan(block.prefix(_rarity(docs, text_col, keys) if keys else {}, keys))
         one: Column = scan(F.col(text_col))
         state = one if state is None else _merge()(state, one)
-    out = out.withColumn("_found", state)
-    return out.select(*[f"`{c}`" for c in out.columns if c != "_found"], "_found.*")
+    kept = out.columns
+    return out.withColumn(made, state).select(*[f"`{c}`" for c in kept], *[F.col(f"`{made}`.{c}").alias(c) for c in OWN])
 
 
 def contaminated(least_share: int = 20) -> Column:
@@ -215,4 +216,21 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     )
 
 
+# The query as SQL: windows as joined words, all windows of the documents beside them.
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, coalesce({_WORDS}, []) AS w FROM benchmark),
+spot AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k:k + 12], ' ') AS t FROM spot),
+place AS (SELECT doc_id, w, s.n, unnest(range(1, len(w) - s.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) s WHERE len(w) >= s.n),
+hit AS (SELECT doc_id, item_id, k, place.n FROM place JOIN win ON win.n = place.n AND win.t = array_to_string(place.w[k:k + place.n - 1], ' ')),
+word AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(item.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(word.n, 0) > 0 AND 20 * coalesce(word.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
 QUERIES = {"op6_decontamination": op6_decontamination}
+ORACLES = {"op6_decontamination": _SQL}
