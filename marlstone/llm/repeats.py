@@ -320,11 +320,33 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """kept_text is null where a removal cut a character in two."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("n_removed"),
-        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"),
+        F.try_validate_utf8(F.col("kept").cast("string")).alias("kept_text"),
     )
 
 
+def _doubled(n: int) -> str:
+    """Ranks of the strings of 2 n bytes from those of n, by document and place; 0 stands for what is beyond the end."""
+    pairs = f"SELECT doc_id, i, r, coalesce(lead(r, {n}) OVER (PARTITION BY doc_id ORDER BY i), 0) AS q FROM b{n}"
+    return f"b{2 * n} AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY r, q) AS r FROM ({pairs}))"
+
+
+# The query as SQL, by doubling: a string of 400 bytes is one of 256 and another that begins 144 bytes later.
+_SQL = f"""
+WITH b1 AS MATERIALIZED (SELECT doc_id, i, CAST('0x' || h[i] AS INT) + 1 AS r FROM (SELECT doc_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents))),
+{", ".join(_doubled(n) for n in (1, 2, 4, 8, 16, 32, 64, 128))},
+w AS (SELECT b256.doc_id, b256.i, b256.r AS x, lead(b256.r, 144) OVER (PARTITION BY b256.doc_id ORDER BY b256.i) AS y, max(b256.i) OVER (PARTITION BY b256.doc_id) AS n FROM b256),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY x, y) AS c FROM w WHERE i + 399 <= n) WHERE c > 1),
+gone AS (SELECT doc_id, i, max(t) OVER (PARTITION BY doc_id ORDER BY i) >= i - 399 AS cut FROM (SELECT b1.doc_id, b1.i, twice.i AS t FROM b1 LEFT JOIN twice USING (doc_id, i))),
+flagged AS (SELECT doc_id, i, coalesce(cut, false) AS cut, lag(coalesce(cut, false), 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS before, r FROM gone JOIN b1 USING (doc_id, i)),
+out AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE cut AND NOT before) AS n_spans, unhex(coalesce(string_agg(printf('%02X', r - 1), '' ORDER BY i) FILTER (WHERE NOT cut), '')) AS kept FROM flagged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, encode(''))) AS kept_sha256, coalesce(n_bytes - n_removed, 0) AS n_kept, TRY(decode(coalesce(kept, encode('')))) AS kept_text
+FROM documents d LEFT JOIN out USING (doc_id)
+"""
+
 QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
+ORACLES = {"op9_suffix_dedup": _SQL}
