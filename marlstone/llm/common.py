@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -80,14 +81,20 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
         self.n, self.paths = 0, []
 
-    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """rows: of a table of thin rows, how many there are at most; it is then written by one task per THIN_ROWS of them, as a
-        file for each of very many partitions costs more than its rows."""
+    def write(self, df: DataFrame, name: str, rows: int | None = None, costly: bool = False, large: bool = False) -> DataFrame:
+        """rows: of a table of thin rows, how many there are at most; it is then written by one task per THIN_ROWS of them, as each
+        file that is written costs processes and requests, which for very many partitions is more than its rows. costly: making
+        the rows is work that should stay spread, so they are exchanged once more. large: what was exchanged for it is much of the
+        input; Spark deletes that when the driver collects garbage, which is asked for here."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
         if rows is not None and (tasks := max(1, -(-rows // THIN_ROWS))) < shuffle_width(self.spark):
-            df = df.coalesce(tasks)
+            df = df.repartition(tasks) if costly else df.coalesce(tasks)
         df.write.option("compression", "zstd").parquet(path)
+        if large:
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
+            self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.paths.append(path)

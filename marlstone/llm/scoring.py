@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +34,14 @@ END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFEED1E57)
 ORDER = 3
 #: Bytes of text in a block, and distinct n-grams in a key range, about.
 BLOCK_BYTES, RANGE_KEYS = 4 << 20, 2 << 20
-#: Bytes of text that a task holds before it sends them to their blocks.
-PIECE_BYTES = 16 << 20
+#: Bytes of text whose answers lie in a file with as much as a thin row has.
+ANSWERED = 1 << 9
 #: Added to every unigram count; the values of k that are tried after one token, and how many times less k is after each further one.
 ADD, BACKOFF, LESS = 0.1, (32.0, 256.0, 2048.0, 16384.0), 4.0
 #: Tokens of a text that are walked one after the other; the parts of a longer text are walked side by side.
 LANE = 512
+#: Steps whose probabilities are multiplied before their logarithm is taken; 16 of at most ORDER weights above 1e-5 each stay far above 1e-308.
+FEW = 16
 
 
 class Tokens:
@@ -69,6 +72,17 @@ class Tokens:
         return combine(*columns[::-1])[self.has(n)]
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and the number of the key at each place."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 def cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     """Where each range begins in sorted keys."""
     return np.searchsorted(keys, np.array([-(-(k << bits) // ranges) for k in range(1, ranges)], np.uint64)).tolist()
@@ -89,74 +103,84 @@ def grow(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _packed(docs: DataFrame, kind: pa.DataType, columns: list[str]) -> DataFrame:
-    """block, blob: the rows of docs by block, compressed, as they are exchanged."""
-    schema = pa.schema([("id", kind), ("text", pa.string()), ("held_out", pa.bool_())])
+_ROWS = ["id", "text", "held_out"]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            block = rows.column("block").to_numpy()
-            order = np.argsort(block, kind="stable")
-            rows, block = rows.select([1, 2, 3]).take(pa.array(order)).rename_columns(schema.names).cast(schema), block[order]
-            cut = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
-            blobs = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                out = io.BytesIO()
-                with pa.ipc.new_stream(out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(rows.slice(a, b - a))
-                blobs.append(out.getvalue())
-            return pa.record_batch([pa.array(block[cut[:-1]]), pa.array(blobs, pa.binary())], ["block", "blob"])
 
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size > PIECE_BYTES:
-                yield flush()
-                held, size = [], 0
-        if any(len(b) for b in held):
-            yield flush()
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """block, blob: rows of docs (id, text, held_out) that follow each other, compressed; each row is a block of about block_bytes of
+    text, with a number of its own."""
 
-    return docs.select(*columns).mapInArrow(pack, "block long, blob binary")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        held, size, block = [], 0, TaskContext.get().partitionId() << 32
 
-def _unpacked(block: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in block.column("blob")])
+        def done() -> pa.RecordBatch:
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for x in held:
+                    w.write_batch(x)
+            return pa.record_batch([pa.array([block]), pa.array([out.getvalue()], pa.binary())], ["block", "blob"])
 
+        for b in batches:
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            lo = 0
+            while lo < len(b):
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + block_bytes - size, "right")))
+                held.append(b.slice(lo, hi - lo))
+                size += int(ends[hi - 1]) - before
+                lo = hi
+                if size >= block_bytes or lo < len(b):
+                    yield done()
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield done()
+
+    return docs.select(*_ROWS).mapInArrow(pack, "block long, blob binary")
+
+
+def _rows(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def _ask(n: int, ranges: int):
+    """Each block's distinct n-grams and training counts, by range."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = _rows(blob)
+                tokens = Tokens(rows.column("text").to_pylist())
+                keys, _, back = distinct_keys(tokens.keys(n))
+                trains = ~rows.column("held_out").to_numpy()[tokens.text[tokens.has(n)]]
+                counts = np.bincount(back[trains], minlength=len(keys))
+                at = [0, *cuts(keys, 64, ranges), len(keys)]
+                full = [(r, lo, hi) for r, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+                cols = (
+                    (pa.int64(), [block] * len(full)), (pa.int32(), [r for r, _, _ in full]),
+                    (pa.binary(), [shrink(np.diff(keys[lo:hi], prepend=np.uint64(0))) for _, lo, hi in full]), (pa.binary(), [shrink(counts[lo:hi]) for _, lo, hi in full]),
+                )
+                yield pa.record_batch([pa.array(x, t) for t, x in cols], ["block", "range", "keys", "counts"])
 
-def _ask(order: int, ranges: int):
-    """One block's distinct n-grams and training counts, by n and range."""
+    return ask
 
-    def ask(key: tuple, block: pa.Table) -> pa.Table:
-        block = _unpacked(block)
-        tokens = Tokens(block.column("text").to_pylist())
-        trains = ~block.column("held_out").to_numpy()[tokens.text] if len(tokens.text) else np.zeros(0, bool)
-        rows: list[tuple] = []
-        for n in range(1, order + 1):
-            keys, back = np.unique(tokens.keys(n), return_inverse=True)
-            counts = np.bincount(back[trains[tokens.has(n)]], minlength=len(keys))
-            at = [0, *cuts(keys, 64, ranges), len(keys)]
-            for r, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                if hi > lo:
-                    rows.append((key[0].as_py(), n, r, shrink(np.diff(keys[lo:hi], prepend=np.uint64(0))), shrink(counts[lo:hi])))
-        return pa.table({c: pa.array(x, t) for c, t, x in zip(("block", "grams", "range", "keys", "counts"), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), zip(*rows, strict=True) if rows else [[]] * 5, strict=True)})
 
-    return ask
+def _answer(n: int):
+    """Total training counts in each block's own order; and, as block -1, how many tokens and distinct n-grams were counted."""
 
+    def answer(key: tuple, asked: pa.Table) -> pa.Table:
+        keys = [np.cumsum(grow(x.as_buffer().to_pybytes())) for x in asked.column("keys")]
+        counts = np.concatenate([grow(x.as_buffer().to_pybytes()) for x in asked.column("counts")])
+        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
+        mine = np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])
+        rows = [(b, n, key[0].as_py(), shrink(t), None, None) for b, t in zip(asked.column("block").to_pylist(), mine, strict=True)]
+        rows.append((-1, n, key[0].as_py(), None, int(total.sum()), int((total > 0).sum())))
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table({c: pa.array(x, t) for c, t, x in zip(("block", "grams", "range", "counts", "tokens", "distinct"), types, zip(*rows, strict=True), strict=True)})
 
-def _answer(key: tuple, asked: pa.Table) -> pa.Table:
-    """Total training counts in each block's own order; and, as block -1, how many tokens and distinct keys were counted."""
-    keys = [np.cumsum(grow(x.as_buffer().to_pybytes())) for x in asked.column("keys")]
-    counts = np.concatenate([grow(x.as_buffer().to_pybytes()) for x in asked.column("counts")])
-    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
-    mine = np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])
-    rows = [(b, key[0].as_py(), key[1].as_py(), shrink(t), None, None) for b, t in zip(asked.column("block").to_pylist(), mine, strict=True)]
-    rows.append((-1, key[0].as_py(), key[1].as_py(), None, int(total.sum()), int((total > 0).sum())))
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table({c: pa.array(x, t) for c, t, x in zip(("block", "grams", "range", "counts", "tokens", "distinct"), types, zip(*rows, strict=True), strict=True)})
+    return answer
 
 
 class Automaton:
@@ -170,13 +194,13 @@ class Automaton:
     def __init__(self, tokens: Tokens, grams: list[np.ndarray], first: list[np.ndarray], counts: list[np.ndarray], total: int, distinct: int, starts: int):
         self.tokens, self.grams, self.order, self.starts, self.counts = tokens, grams, len(grams), float(starts), [c.astype(np.float64) for c in counts]
         self.k = np.array([[b / LESS**n for b in BACKOFF] for n in range(self.order - 1)])
-        self.log_all = np.log10(total + ADD * (distinct + 1))
+        self.all = total + ADD * (distinct + 1)
         self.state_at = np.cumsum([2, *map(len, counts[:-1])])
         self.arc_at = np.cumsum([0, *map(len, counts)])
         self.level, self.fail, self.known = (np.zeros(self.state_at[-1], t) for t in (np.int8, np.int64, np.float64))
         self.level[1], self.known[1] = min(1, self.order - 1), self.starts
         self.seen, self.weight = np.ones(self.arc_at[-1], bool), np.zeros((self.arc_at[-1], len(BACKOFF)))
-        p = np.repeat(10.0 ** self.base(self.counts[0])[:, None], len(BACKOFF), 1)  # the root knows every word
+        p = np.repeat(self.root(self.counts[0])[:, None], len(BACKOFF), 1)  # the root knows every word
         for n in range(1, self.order + 1):
             c, at = self.counts[n - 1], first[n - 1]
             arcs = slice(self.arc_at[n - 1], self.arc_at[n])
@@ -184,15 +208,15 @@ class Automaton:
                 k = self.k[n - 2]
                 p = (c[:, None] + k * p[grams[n - 2][at]]) / (self._history(n, at)[:, None] + k)
                 self.seen[arcs] = c > 0
-            self.weight[arcs] = np.log10(p)
+            self.weight[arcs] = p
             if n < self.order:
                 states = slice(self.state_at[n - 1], self.state_at[n])
                 self.level[states], self.known[states] = n, c
                 if n > 1:  # what is left without the first token ends at the same place
                     self.fail[states] = self.state_at[n - 2] + grams[n - 2][at]
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10(count + ADD) - self.log_all
+    def root(self, count: np.ndarray) -> np.ndarray:
+        return (count + ADD) / self.all
 
     def _history(self, n: int, at: np.ndarray) -> np.ndarray:
         """How often the first n - 1 tokens of the n-grams that end at the tokens were a history."""
@@ -208,7 +232,7 @@ class Automaton:
             ids = self.grams[n - 1][longest]
             kinds, one, times = np.unique(ids, return_index=True, return_counts=True)
             at = np.flatnonzero(longest)[one]
-            p = np.repeat(10.0 ** self.base(np.maximum(self.counts[0][self.grams[0][at]] - 1, 0))[:, None], len(BACKOFF), 1)
+            p = np.repeat(self.root(np.maximum(self.counts[0][self.grams[0][at]] - 1, 0))[:, None], len(BACKOFF), 1)
             for m in range(2, n + 1):
                 c, h = self.counts[m - 1][self.grams[m - 1][at]], self._history(m, at)
                 p = (np.maximum(c - 1, 0)[:, None] + self.k[m - 2] * p) / (np.maximum(h - 1, 0)[:, None] + self.k[m - 2])
@@ -233,17 +257,22 @@ class Automaton:
         longest = np.argsort(-n, kind="stable")
         start, n = start[longest], n[longest]
         state = np.where(place[start] == 0, int(self.order > 1), self.after(np.maximum(start - 1, 0)))
-        sums = np.zeros((len(start), len(BACKOFF)))
+        sums, chance = np.zeros((len(start), len(BACKOFF))), np.ones((len(start), len(BACKOFF)))
         for step in range(int(n[0]) if len(n) else 0):
             going = int(np.searchsorted(-n, -step, "left"))
-            state[:going] = self._step(start[:going] + step, state[:going], sums[:going])
+            state[:going] = self._step(start[:going] + step, state[:going], chance[:going])
+            if step % FEW == FEW - 1:  # before the product gets too small for a number
+                sums[:going] += np.log10(chance[:going])
+                chance[:going] = 1.0
+        sums += np.log10(chance)
         out = np.zeros((texts, len(BACKOFF)))
         order = np.argsort(start, kind="stable")  # parts of a text in their order, so that equal texts add up alike
         np.add.at(out, self.tokens.text[start[order]], sums[order])
         return out
 
-    def _step(self, at: np.ndarray, state: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """The states after one more token each: failure arcs while a state has no arc for it, then the arc."""
+    def _step(self, at: np.ndarray, state: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """The states after one more token each: failure arcs while a state has no arc for it, then the arc. Their weights, as
+        probabilities, are multiplied into chance."""
         state, left, out = state.copy(), np.arange(len(at)), np.zeros(len(at), np.int64)
         for n in range(self.order, 0, -1):  # an arc from a history of n - 1 tokens is an n-gram
             here = self.level[state[left]] == n - 1
@@ -251,9 +280,9 @@ class Automaton:
             arc = self.arc_at[n - 1] + self.grams[n - 1][at[lane]]
             has = self.seen[arc]
             goes, falls = lane[has], lane[~has]
-            sums[goes] += self.weight[arc[has]]
+            chance[goes] *= self.weight[arc[has]]
             if len(falls):
-                sums[falls] += np.log10(self.k[n - 2]) - np.log10(self.known[state[falls]][:, None] + self.k[n - 2])
+                chance[falls] *= self.k[n - 2] / (self.known[state[falls]][:, None] + self.k[n - 2])
                 state[falls] = self.fail[state[falls]]
                 left = np.concatenate([left[~here], falls])
             else:
@@ -267,13 +296,13 @@ class Automaton:
 
 def _score(id_col: str, order: int, ranges: int, total: int, distinct: int, starts: int):
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _unpacked(block)
+        block = pa.concat_tables([_rows(x) for x in block.column("blob")])
         tokens = Tokens(block.column("text").to_pylist())
         said = {(o, r): c for o, r, c in zip(answers.column("grams").to_pylist(), answers.column("range").to_pylist(), answers.column("counts"), strict=True)}
         grams, first, counts = [], [], []
         for n in range(1, order + 1):
             has = tokens.has(n)
-            _, one, back = np.unique(tokens.keys(n), return_index=True, return_inverse=True)
+            _, one, back = distinct_keys(tokens.keys(n))
             gram = np.full(len(tokens.token), -1, np.int32)
             gram[has] = back
             got = [grow(said[n, r].as_buffer().to_pybytes()) for r in range(ranges) if (n, r) in said]
@@ -282,7 +311,7 @@ def _score(id_col: str, order: int, ranges: int, total: int, distinct: int, star
         size, word = len(block), auto.counts[0][grams[0]]
         add = lambda x: np.bincount(tokens.text, weights=x, minlength=size)
         out = block.column("held_out").to_numpy()
-        cols = {id_col: block.column("id"), "held_out": block.column("held_out"), "n_tokens": np.bincount(tokens.text, minlength=size), "n_known": add(word > 0).astype(np.int64), "base_score": add(auto.base(word))}
+        cols = {id_col: block.column("id"), "held_out": block.column("held_out"), "n_tokens": np.bincount(tokens.text, minlength=size), "n_known": add(word > 0).astype(np.int64), "base_score": add(np.log10(word + ADD) - np.log10(auto.all))}
         sums, left_out = auto.walk(size), auto.left_out(~out[tokens.text])
         for i in range(len(BACKOFF)):
             cols[f"score_{i}"] = sums[:, i]
@@ -303,23 +332,21 @@ def score_texts(docs: DataFrame, out, id_col: str = "doc_id", text_col: str = "t
     spark = session(docs)
     scratch = Scratch(spark, "scoring")
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow_kind = docs.limit(0).select(id_col).toArrow().schema.field(0).type
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(out, F.lit(True)).alias("held_out"))
-    lim = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1).cast("long")).alias("b"), F.count_if(~F.col("held_out")).alias("starts")).first()
-    width, size = shuffle_width(spark), lim.b or 0
-    blocks = max(width, -(-size // block_bytes))
-    ranges = max(width // 2, -(-size // (6 * RANGE_KEYS)), 1)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(blocks)))
-    packed = _packed(docs, arrow_kind, ["block", "id", "text", "held_out"])
-    packed = scratch.write(packed, "packed")
-    asked = packed.groupBy("block").applyInArrow(_ask(order, ranges), "block long, grams int, range int, keys binary, counts binary")
-    answers = asked.groupBy("grams", "range").applyInArrow(_answer, "block long, grams int, range int, counts binary, tokens long, distinct long")
-    answers = scratch.write(answers, "answers")
+    lim = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1).cast("long")).alias("b"), F.count_if(~F.col("held_out")).alias("starts"), F.count("*").alias("n")).first()
+    ranges = max(shuffle_width(spark) // 2, -(-(lim.b or 0) // (6 * RANGE_KEYS)), 1)
+    packed = scratch.write(_blocks(docs, block_bytes), "blocks")
+    answers = None
+    for n in range(1, order + 1):  # one after the other, so that only one length's keys lie on the disks
+        asked = packed.mapInArrow(_ask(n, ranges), "block long, range int, keys binary, counts binary")
+        said = asked.groupBy("range").applyInArrow(_answer(n), "block long, grams int, range int, counts binary, tokens long, distinct long")
+        said = scratch.write(said, f"answers-{n}", rows=(lim.b or 0) // ANSWERED, costly=True, large=True)
+        answers = said if answers is None else answers.unionByName(said)
     total = answers.where("block = -1 and grams = 1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     schema = f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, base_score double, " + ", ".join(f"score_{i} double, left_out_{i} double" for i in range(len(BACKOFF)))
     score = _score(id_col, order, ranges, total.n or 0, total.v or 0, lim.starts)
     scored = packed.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(score, schema)
-    scored = scratch.write(scored, "scored")
+    scored = scratch.write(scored, "scored", rows=lim.n, costly=True)
     scratch.keep_only(scored)
     left_out = scored.agg(*[F.sum(f"left_out_{i}").alias(f"s{i}") for i in range(len(BACKOFF))]).first()
     best = max(range(len(BACKOFF)), key=lambda i: left_out[i] or 0.0)

@@ -251,9 +251,9 @@ def test_the_walk_takes_failure_arcs_and_arrives_at_the_longest_history():
     last = np.flatnonzero(tokens.text == 3)
     for at in last:
         before = auto.level[state[0]]
-        sums = np.zeros((1, len(scoring.BACKOFF)))
-        state = auto._step(np.array([at]), state, sums)
-        assert state[0] == auto.after(np.array([at]))[0] and (sums < 0).all()
+        chance = np.ones((1, len(scoring.BACKOFF)))
+        state = auto._step(np.array([at]), state, chance)
+        assert state[0] == auto.after(np.array([at]))[0] and (chance < 1).all() and (chance > 0).all()
         falls.append((int(before), int(auto.level[state[0]])))
     # a, then a b, then b c; x was never seen, so the walk falls to the root; a again; and the end
     assert falls == [(1, 2), (2, 2), (2, 2), (2, 0), (0, 1), (1, 1)]
