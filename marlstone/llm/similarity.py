@@ -364,7 +364,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = session(docs)
     scratch = Scratch(spark, "similarity")
-    thin = scratch.write(docs.select(F.col(id_col), _measure(size)(text_col).alias("m")).select(id_col, "m.n", "m.node"), "sizes")
+    measured = docs.select(F.col(id_col), _measure(size)(text_col).alias("m")).select(id_col, "m.n", "m.node")
+    thin = scratch.write(measured, "sizes", docs.count(), costly=True)
     classes = thin.where("n > 0").groupBy("node").agg(F.min(id_col).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"))
     classes = scratch.write(classes, "classes", thin.count())
     histogram = {r.n: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -385,7 +386,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = found.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     work = tasks.join(once, "node").select("root", "bi", "bj", "node", "block", "copies", "shingles")
     work = work.repartition(shuffle_width(spark), "root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    links = scratch.write(work.mapInArrow(_compare(num, den), "a long, b long, links long"), "links")
+    links = scratch.write(work.mapInArrow(_compare(num, den), "a long, b long, links long"), "links", 2 * kinds, costly=True)
     edges = links.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots = components(edges, scratch)
     degree = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
@@ -435,4 +436,18 @@ def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# The query as SQL: all pairs of documents that share a shingle, and the closure of their links.
+_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), d.doc_id)) AS component_id,
+  (SELECT count(*) FROM link WHERE a = d.doc_id) AS n_links
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}
+ORACLES = {"op3_ngram_jaccard": _SQL}
