@@ -252,14 +252,14 @@ def _take(length: int):
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, many: int = MANY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """text (hash), start, end of repeated bytes, not merged; docs has _name (hash of the text) and _text."""
     spark = docs.sparkSession
-    anchors = scratch.write(_anchors(docs, length, gram), "anchors")
+    anchors = scratch.hold(_anchors(docs, length, gram))
     twice = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    likely = scratch.write(anchors.where(_maybe(_bits(twice, "anchor"))("anchor")), "likely")
+    likely = scratch.hold(anchors.where(_maybe(_bits(twice, "anchor"))("anchor")))
     whole = likely.groupBy("anchor", "whole").agg(F.count("*").alias("n_rows"), F.min(F.struct("text", "start", "n")).alias("one"))
-    whole = scratch.write(whole, "whole")
+    whole = scratch.hold(whole)
     by_anchor = whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = whole.join(by_anchor, "anchor").select("one.text", "anchor", "n_rows", (F.col("kinds") > many).alias("many"), "one.start", "one.n")
-    pieces = _cut_out(docs, scratch.write(wanted, "wanted"), scratch, length)
+    pieces = _cut_out(docs, scratch.hold(wanted), scratch, length)
     full = likely.join(whole.where("n_rows > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
     found = full.select("text", "start", (F.col("start") + F.col("n") - 1 + length).cast("int").alias("end"))
     size = pieces.groupBy("many").agg(F.sum(F.octet_length("bytes")).alias("b"), F.count("*").alias("c")).collect()
@@ -292,8 +292,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     named = without(docs, *own).withColumns({"_text": F.coalesce(F.col(text_col), F.lit("")), "_name": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     found = repeated_spans(named.select("_name", "_text"), scratch, length, gram, many, shard_bytes)
     spans = found.groupBy("text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    spans = scratch.write(spans, "spans")
+    spans = scratch.write(spans, "spans", named.count(), costly=True)
     scratch.keep_only(spans)
+    scratch.release()
     hit = _maybe(_bits(spans, "text"))
     run = "array<struct<start:int,end:int>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
