@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 # Rows and bytes in an Arrow batch where the session doesn't say otherwise, and what lets Python workers give
-# freed memory back at once rather than keep it for later tasks.
+# much freed memory back rather than keep it for later tasks.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(16 << 20), "MALLOC_TRIM_THRESHOLD_": str(48 << 20)}
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
@@ -79,7 +80,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{owner}-{uuid.uuid4().hex}"
-        self.n, self.paths = 0, []
+        self.n, self.paths, self.held = 0, [], []
 
     def write(self, df: DataFrame, name: str, rows: int | None = None, costly: bool = False, large: bool = False) -> DataFrame:
         """rows: of a table of thin rows, how many there are at most; it is then written by one task per THIN_ROWS of them, as each
@@ -100,6 +101,18 @@ class Scratch:
         self.paths.append(path)
         return out
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """df, kept on the executors' disks from its first use until release. Its lineage stays, so that what a lost executor held
+        is made again; for tables a few steps from the input."""
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Lets go of what is held, once nothing lazy depends on it."""
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+
     def keep_only(self, *tables: DataFrame) -> None:
         """Deletes the other tables, once nothing lazy depends on them."""
         kept = {t._scratch_path for t in tables}

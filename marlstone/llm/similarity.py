@@ -373,7 +373,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     widespread, meet = _widespread(docs, text_col, size, kinds, total)
     ranges = Ranges(num, den, histogram, meet)
     buckets = max(shuffle_width(spark), total // (1 << 21))
-    chains = scratch.write(_chains(_signatures(docs, text_col, size, ranges, buckets, widespread)), "chains", kinds)
+    chains = scratch.write(_chains(_signatures(docs, text_col, size, ranges, buckets, widespread)), "chains", 8 * kinds)
     clusters = scratch.write(components(chains, scratch), "clusters", kinds)
     found = _sets(docs, text_col, size, _filter_words(clusters))
     sizes = clusters.join(classes, "node").groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
