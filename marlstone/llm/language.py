@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session, table, without
+from .common import free_name, session, table, without
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -147,8 +147,8 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_g
             got = [profiles.judge(t) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
-    out = without(docs, *kinds).withColumn("_lang", predict(F.col(text_col)))
-    return out.select(*[f"`{c}`" for c in out.columns if c != "_lang"], "_lang.*")
+    kept, made = without(docs, *kinds), free_name(docs)
+    return kept.withColumn(made, predict(F.col(text_col))).select(*[f"`{c}`" for c in kept.columns], *[F.col(f"`{made}`.{c}").alias(c) for c in kinds])
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

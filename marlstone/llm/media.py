@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, table, without
+from .common import free_name, session, table, without
 
 #: Samples in a row of an image, and the unit that payloads are padded to.
 UNIT = 192
@@ -413,8 +413,13 @@ def store_media(df: DataFrame, text_col: str = "text") -> DataFrame:
             media, declared, size = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(media, pa.binary()), pa.array(declared, pa.string()), pa.array(size, pa.int64())], ["media", "declared", "n_bytes"])
 
-    out = without(df, "media", "declared", "n_bytes").withColumn("_put", put(F.col(text_col)))
-    return out.select(*[f"`{c}`" for c in out.columns if c != "_put"], "_put.*")
+    return _with_parts(df, put(F.col(text_col)), ("media", "declared", "n_bytes"))
+
+
+def _with_parts(df: DataFrame, made: Column, names: tuple[str, ...]) -> DataFrame:
+    """df with the fields of a struct as columns, in place of its own of the same names."""
+    kept, name = without(df, *names), free_name(df)
+    return df.withColumn(name, made).select(*[f"`{c}`" for c in kept.columns], *[F.col(f"`{name}`.{c}").alias(c) for c in names])
 
 
 _CARVED = "array<struct<kind:string,start:long,length:long>>"
@@ -444,8 +449,7 @@ def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "de
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["media_type", "type_ok", "detail", "samples", "carved"])
 
     own = ("media_type", "type_ok", "detail", "samples", "carved")
-    out = without(df, *own).withColumn("_look", look(F.col(media_col), F.col(declared_col)))
-    return out.select(*[f"`{c}`" for c in out.columns if c != "_look"], "_look.*")
+    return _with_parts(df, look(F.col(media_col), F.col(declared_col)), own)
 
 
 def op4_media_sniffing(spark, sf_dir: str) -> DataFrame:
