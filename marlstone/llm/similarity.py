@@ -37,8 +37,9 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 21
 FILTER_BITS = 1 << 23
 #: What comparing two sets costs a shingle, in units of one signature.
 COMPARE = 0.01
-#: Cells that shingles are counted in to tell the widespread ones, and the sets that a cell needs at least.
-CELLS, WIDESPREAD = 1 << 22, 64
+#: Cells that shingles are counted in to tell the widespread ones, the sets that a cell needs at least, and the cells of a run, whose
+#: counts travel together.
+CELLS, WIDESPREAD, RUN = 1 << 22, 64, 1 << 14
 
 
 def shingle_sets(texts: list[str | None], size: int = 3) -> Iterator[np.ndarray]:
@@ -141,11 +142,12 @@ class Ranges:
         return combine(one[a[keep]], one[b[keep]])
 
 
-def _widespread(docs: DataFrame, text_col: str, size: int, sets: int, shingles: int) -> tuple[np.ndarray, float]:
+def _widespread(docs: DataFrame, text_col: str, size: int, sets: int, shingles: int, scratch: Scratch) -> tuple[np.ndarray, float]:
     """One bit per hash cell: whether its shingles are in far more distinct sets than most; any choice gives the same links. And how
     likely a shingle of one set that isn't widespread is in another set, for the costs.
 
-    Tasks report cells that they met often; at most CELLS numbers reach the driver, and CELLS / 8 bytes go out.
+    Tasks report cells that they met often, packed by runs of RUN cells. Counts are summed and judged on the executors, whatever
+    the number of cells that are met often: a row for each run reaches the driver, with RUN / 8 bytes, and CELLS / 8 bytes go out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,18 +160,38 @@ def _widespread(docs: DataFrame, text_col: str, size: int, sets: int, shingles:
                     n[(s & np.uint64(CELLS - 1)).astype(np.int64)] += 1
             if len(seen) > 1 << 18:
                 seen.clear()
-        often = np.flatnonzero(n >= 4)
-        yield pa.record_batch([pa.array(often), pa.array(n[often].astype(np.int64))], ["cell", "n"])
-
-    counts = docs.select(text_col).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n >= {WIDESPREAD}").toPandas()
-    out = np.zeros(CELLS, bool)
-    n = counts.n.to_numpy(np.int64)
-    hot = n >= WIDESPREAD + 4 * n.sum() // CELLS
-    out[counts.cell.to_numpy(np.int64)[hot]] = True
+        for run in range(CELLS // RUN):
+            mine = n[run * RUN : (run + 1) * RUN]
+            if len(often := np.flatnonzero(mine >= 4)):
+                yield pa.record_batch([pa.array([run]), pa.array([often.astype(np.int32).tobytes()], pa.binary()), pa.array([mine[often].tobytes()], pa.binary())], ["run", "cells", "counts"])
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        n = np.zeros(RUN, np.int64)
+        for cells, counts in zip(group.column("cells"), group.column("counts"), strict=True):
+            n[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(counts.as_buffer(), np.int32)
+        n[n < WIDESPREAD] = 0
+        return pa.table({"run": [key[0].as_py()], "n": [int(n.sum())], "counts": pa.array([n.tobytes()], pa.binary())})
+
+    counted = docs.select(text_col).mapInArrow(count, "run long, cells binary, counts binary").groupBy("run").applyInArrow(add, "run long, n long, counts binary")
+    counted = scratch.write(counted, "cells")
+    often = counted.agg(F.sum("n")).first()[0] or 0
+    least = WIDESPREAD + 4 * often // CELLS
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = np.frombuffer(blob.as_buffer(), np.int64)
+                hot = n >= least
+                yield pa.record_batch([pa.array([run]), pa.array([np.packbits(hot).tobytes()], pa.binary()), pa.array([float((n[~hot].astype(np.float64) ** 2).sum())])], ["run", "hot", "squares"])
+
+    out, squares = np.zeros((CELLS // RUN, RUN // 8), np.uint8), 0.0
+    for r in counted.select("run", "counts").mapInArrow(judge, "run long, hot binary, squares double").collect():
+        out[r.run] = np.frombuffer(r.hot, np.uint8)
+        squares += r.squares
     # other cells hold a share of the rest of the shingles each, or what was counted
-    rest = max(0, shingles - n.sum())
-    met = rest * max(1.0, rest / CELLS) + float((n[~hot].astype(np.float64) ** 2).sum())
-    return np.packbits(out), met / max(1, shingles) / max(1, sets)
+    rest = max(0, shingles - often)
+    met = rest * max(1.0, rest / CELLS) + squares
+    return out.ravel(), met / max(1, shingles) / max(1, sets)
 
 
 def _signatures(docs: DataFrame, text_col: str, size: int, ranges: Ranges, buckets: int, widespread: np.ndarray) -> DataFrame:
@@ -222,12 +244,18 @@ def _chains(blobs: DataFrame) -> DataFrame:
 
 
 def _filter_words(nodes: DataFrame) -> np.ndarray:
-    """A one-hash Bloom filter of node fingerprints as 64-bit words; at most FILTER_BITS / 64 numbers reach the driver."""
+    """A one-hash Bloom filter of node fingerprints as 64-bit words; at most FILTER_BITS / 8 bytes, and their places, reach the driver,
+    a row for each batch."""
     bit = F.col("node").bitwiseAND(FILTER_BITS - 1)
     words = nodes.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(node & 63 as int))").alias("bits")).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for k in (0, 1)], ["w", "bits"])
+
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    got = words.toPandas()
-    out[got.w.to_numpy(np.int64)] = got.bits.to_numpy(np.int64)
+    for r in words.mapInArrow(pack, "w binary, bits binary").collect():
+        out[np.frombuffer(r.w, np.int64)] = np.frombuffer(r.bits, np.int64)
     return out
 
 
@@ -370,7 +398,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = scratch.write(classes, "classes", thin.count())
     histogram = {r.n: r["c"] for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}
     kinds, total = sum(histogram.values()), sum(n * c for n, c in histogram.items())
-    widespread, meet = _widespread(docs, text_col, size, kinds, total)
+    widespread, meet = _widespread(docs, text_col, size, kinds, total, scratch)
     ranges = Ranges(num, den, histogram, meet)
     buckets = max(shuffle_width(spark), total // (1 << 21))
     chains = scratch.write(_chains(_signatures(docs, text_col, size, ranges, buckets, widespread)), "chains", 8 * kinds)

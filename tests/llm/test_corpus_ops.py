@@ -271,6 +271,32 @@ def test_number_blobs():
         assert scoring.grow(scoring.shrink(np.array(x, np.uint64))).tolist() == x
 
 
+def test_counted_cells_are_those_of_a_count_in_one_place(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELLS", 1 << 16)
+    monkeypatch.setattr(similarity, "WIDESPREAD", 8)
+    rng = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(50))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) + f" {common}" * (k % 2) for k in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    sets = list(similarity.shingle_sets(texts))
+    total = sum(map(len, sets))
+    got, meet = similarity._widespread(docs, "text", 3, len(sets), total, Scratch(spark, "test"))
+    n = np.zeros(1 << 16, np.int64)
+    for part in docs.rdd.glom().collect():  # cells that a task met less than 4 times aren't reported
+        own = np.zeros(1 << 16, np.int64)
+        for s in similarity.shingle_sets([r.text for r in part]):
+            np.add.at(own, np.unique((s & np.uint64((1 << 16) - 1)).astype(np.int64)), 1)
+        n += np.where(own >= 4, own, 0)
+    n[n < 8] = 0
+    hot = n >= 8 + 4 * n.sum() // (1 << 16)
+    assert 0 < hot.sum() < (n > 0).sum() > 50_000
+    assert np.array_equal(np.unpackbits(got).astype(bool), hot)
+    rest = max(0, total - n.sum())
+    assert math.isclose(meet, (rest * max(1.0, rest / 65536) + float((n[~hot] ** 2).sum())) / total / len(sets))
+    empty, none = similarity._widespread(docs.limit(0), "text", 3, 0, 0, Scratch(spark, "test"))
+    assert not empty.any() and len(empty) == 1 << 13 and none == 0
+
+
 def test_linked_sets_share_a_signature_whatever_is_widespread():
     rng = np.random.default_rng(6)
     kinds = [(num, similarity.Ranges(num, 100, {k: 10**6 for k in range(1, 90)}, meet)) for num in (80, 90) for meet in (0.0, 0.2, 0.9)]

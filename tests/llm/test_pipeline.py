@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from marlstone.llm import similarity
 from test_corpus_ops import brute_groups
 from test_text_ops import brute_spans, brute_windows
 
@@ -77,3 +78,19 @@ def test_language_stage_rejects_by_score(spark, sf_dir):
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = cp.run(spark, sf_dir)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_duplicates_leave_the_driver_few_rows(spark, sf_dir, monkeypatch):
+    """Most cells are met often here, and many nodes are in clusters; neither reaches the driver row by row."""
+    monkeypatch.setattr(similarity, "CELLS", 1 << 16)
+    monkeypatch.setattr(similarity, "WIDESPREAD", 8)
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(400)]
+    texts += [" ".join(f"{k}x{i}" for i in range(n)) for k in range(1500) for n in (60, 61)]
+    docs = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2)
+    rows = []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(type(docs), name, lambda self, *a, f=getattr(type(docs), name): rows.append(len(out := f(self, *a))) or out)
+    left = cp.near_duplicate_stage(spark, docs, sf_dir)
+    assert left.count() == 400 + 1500
+    assert max(rows) < 600 and sum(rows) < 1500
