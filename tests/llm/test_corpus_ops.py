@@ -297,6 +297,24 @@ def test_counted_cells_are_those_of_a_count_in_one_place(spark, monkeypatch):
     assert not empty.any() and len(empty) == 1 << 13 and none == 0
 
 
+def test_op3_leaves_the_driver_few_rows(spark, tmp_path, monkeypatch):
+    """Most cells are met often here, and many nodes are in clusters; neither reaches the driver row by row."""
+    monkeypatch.setattr(similarity, "CELLS", 1 << 16)
+    monkeypatch.setattr(similarity, "WIDESPREAD", 8)
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1500)) for _ in range(400)]
+    texts += [" ".join(f"{k}x{i}" for i in range(n)) for k in range(1500) for n in (60, 61)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(type(docs), name, lambda self, *a, f=getattr(type(docs), name): rows.append(len(out := f(self, *a))) or out)
+    out = similarity.op3_ngram_jaccard(spark, str(tmp_path))
+    assert out.where("n_links = 1").count() == 3000 and out.where("n_links = 0").count() == 400
+    assert out.select("component_id").distinct().count() == 1900
+    assert max(rows) < 600 and sum(rows) < 1500
+
+
 def test_linked_sets_share_a_signature_whatever_is_widespread():
     rng = np.random.default_rng(6)
     kinds = [(num, similarity.Ranges(num, 100, {k: 10**6 for k in range(1, 90)}, meet)) for num in (80, 90) for meet in (0.0, 0.2, 0.9)]
